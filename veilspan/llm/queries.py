@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from .compression_rules import op10_compression_bands
 from .quality_fm import op8_factorisation_machine
+from .simhash import op9_simhash_bitsliced
 
 QUERIES: dict[str, Callable] = {
     "op8_factorisation_machine": op8_factorisation_machine,
+    "op9_simhash_bitsliced": op9_simhash_bitsliced,
     "op10_compression_bands": op10_compression_bands,
 }
 ORACLE_SQL: dict[str, str] = {}
