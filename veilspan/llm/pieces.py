@@ -5,8 +5,8 @@ piece scores, ties going to the longer last piece, unknown characters to byte pi
 byte-pair file are merge ranks, no log-probabilities, so a piece of rank r gets that of Zipf's law,
 -ln((r+1) H), rounded to 1/1024 so that sums are exact. Ids are therefore those of the library for a unigram
 file with these scores, not those of its merge procedure; decoding is the same for both. No piece
-holds a space mark after another character, so every space mark after another character is a border that no
-piece crosses; ordinary texts are encoded word by word from a memo.
+holds a line end, nor a space mark after another character, so no piece crosses a line end or a space mark after
+another character; ordinary texts are encoded word by word from a memo that the library fills.
 
 Giant texts are cut anywhere into chunks. A chunk's state at its border is how many characters a piece
 overhangs it (0..MAX_PIECE-1); each chunk yields its transfer matrix from entry to exit state in the (max, +)
@@ -24,7 +24,9 @@ from __future__ import annotations
 import functools
 import math
 import re
+import struct
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,7 +41,7 @@ MARK = "▁"
 GIANT_CHARS = 1 << 15
 CHUNK_CHARS = 1 << 14
 MOST_CHUNKS = 1 << 12
-UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+UNIT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 LOW = -np.inf
 
 
@@ -49,6 +51,46 @@ def zipf(score: float, n: int) -> float:
     return -round(1024 * (math.log(rank + 1) + math.log(math.log(n) + 0.5772))) / 1024
 
 
+def unigram_file(path: str) -> bytes:
+    """The vocabulary file with Zipf scores, marked as a unigram model that adds no mark before a text."""
+    import sentencepiece
+
+    with open(path, "rb") as f:
+        data = f.read()
+    n = sentencepiece.SentencePieceProcessor(model_proto=data).get_piece_size()
+
+    def varint(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            b = data[at]
+            at, value, shift = at + 1, value | (b & 127) << shift, shift + 7
+            if b < 128:
+                return value, at
+
+    def number(key: bytes, value: int) -> bytes:
+        return key + bytes([value])
+
+    out, at = bytearray(), 0
+    while at < len(data):  # fields of the file: 1 a piece (1 its text, 2 its score), 2 the trainer's, 3 the normaliser's settings
+        length, start = varint(at + 1)
+        body = data[start : start + length]
+        if data[at] == 0x0A:
+            k = 2 + body[1]
+            if body[k : k + 1] == b"\x15":
+                body = body[: k + 1] + struct.pack("<f", zipf(struct.unpack("<f", body[k + 1 : k + 5])[0], n)) + body[k + 5 :]
+        elif data[at] == 0x12:
+            body += number(b"\x18", 1)  # the last value of a field holds: model_type = unigram
+        elif data[at] == 0x1A:
+            body += number(b"\x18", 0) + number(b"\x20", 0) + number(b"\x28", 1)  # no dummy prefix, keep white space, escape it
+        size, head = len(body), bytearray([data[at]])
+        while size >= 128:
+            head.append(size & 127 | 128)
+            size >>= 7
+        out += head + bytes([size]) + body
+        at = start + length
+    return bytes(out)
+
+
 class Pieces:
     """Scores of a SentencePiece vocabulary, with the dynamic programme over one stretch of characters."""
 
@@ -65,9 +107,11 @@ class Pieces:
         self.byte_of = {i: int(t[1:-1], 16) for t, i in self.bytes.items()}
         self.unknown_id, self.unknown = m.unk_id(), min(self.score.values()) - 10.0
         self.longest = max(map(len, self.ids))
-        if any(MARK in p.lstrip(MARK) for p in self.ids):
+        if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
             raise ValueError("a piece crosses a word border")
-        self.memo: dict[str, tuple] = {}
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=unigram_file(path))
+        self.plain = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if m.is_control(i) else t.replace(MARK, " ").encode() for i, t in enumerate(self.text)]
+        self.memo: dict[str, list[int]] = {}
 
     def forward(self, s: str, n: int, entry: dict[int, float]) -> tuple[list[float], list[int], dict[int, tuple[float, int]]]:
         """Best scores and piece starts at 0..n given entry states (offset -> score), and those of exits past n.
@@ -105,45 +149,42 @@ class Pieces:
             at = i
         return out[::-1], at
 
-    def unit(self, s: str) -> tuple[float, list[int]]:
-        """Score and ids of one unit (no border inside)."""
-        got = self.memo.get(s)
-        if got is None:
-            value, back, _ = self.forward(s, len(s), {0: 0.0})
-            got = value[len(s)], self.trace(s, back, len(s))[0]
-            if len(s) <= 48:
-                if len(self.memo) > 200_000:
-                    self.memo.clear()
-                self.memo[s] = got
-        return got
+    def learn(self, parts: Iterable[str]) -> dict[str, list[int]]:
+        """A memo that has the ids of all ``parts`` (units: no border inside)."""
+        if len(self.memo) > 300_000:
+            self.memo = {}
+        if new := [u for u in set(parts) if u not in self.memo]:
+            self.memo.update(zip(new, self.library.encode(new, num_threads=1), strict=True))
+        return self.memo
+
+    def total(self, ids: list[int]) -> float:
+        """Score sum of ids; an unknown character counts once, at its first byte."""
+        out = 0.0
+        for i in ids:
+            b = self.byte_of.get(i)
+            if b is None:
+                out += self.score[self.text[i]]
+            elif b & 0xC0 != 0x80:
+                out += self.unknown
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        cut = [units(marked(t)) for t in texts]
+        memo = self.learn(u for c in cut for u in c)
+        return [list(chain.from_iterable(map(memo.__getitem__, c))) for c in cut]
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        unit, memo = self.unit, self.memo
-        for s in units(marked(text)):
-            got = memo.get(s)
-            out += (got or unit(s))[1]
-        return out
+        return self.encode_all([text])[0]
 
     def decode(self, ids: Iterable[int]) -> str:
-        out, rest = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                rest.append(self.byte_of[i])
-                continue
-            if rest:
-                out.append(rest.decode(errors="replace"))
-                rest.clear()
-            out.append(self.text[i])
-        out.append(rest.decode(errors="replace"))
-        s = "".join(out).replace(MARK, " ")
-        return s[1:]  # the mark before the first word
+        """The text; its first mark stands before the first word, and bytes that are no character become U+FFFD."""
+        return b"".join(map(self.plain.__getitem__, ids)).decode(errors="replace")[1:]
 
     # A chunk: ``s`` with its first ``n`` characters its own.
 
     def borders(self, s: str, n: int) -> list[int]:
         """Positions in 1..n-1 that no piece crosses."""
-        return [m.start() + 1 for m in re.finditer(f"[^{MARK}](?={MARK})", s[:n])]
+        return [m.start() + 1 for m in re.finditer(f"[^{MARK}](?=[{MARK}\n])|\n(?=[^\n])", s[:n])]
 
     def transfer(self, s: str, n: int) -> np.ndarray:
         """Max-plus matrix [entry, exit]."""
@@ -159,7 +200,9 @@ class Pieces:
                     out[a, a - n] = 0.0
             return out
         first, last = cut[0], cut[-1]
-        middle = sum(self.unit(u)[0] for u in units(s[first:last]))
+        inner = units(s[first:last])
+        memo = self.learn(inner)
+        middle = sum(self.total(memo[u]) for u in inner)
         right = self.forward(s[last:], n - last, {0: middle})[2]
         for a in range(min(k, first + 1)):
             left = self.forward(s[:first], first, {a: 0.0})[0][first]
@@ -190,8 +233,7 @@ class Pieces:
             return self.trace(s, back, n + leave)[0]
         _, back, _ = self.forward(s[: cut[0]], cut[0], entry)
         out = self.trace(s, back, cut[0])[0]
-        for u in units(s[cut[0] : cut[-1]]):
-            out += self.unit(u)[1]
+        out += list(chain.from_iterable(map(self.learn(inner := units(s[cut[0] : cut[-1]])).__getitem__, inner)))
         tail = s[cut[-1] :]
         _, back, _ = self.forward(tail, n - cut[-1], {0: 0.0})
         return out + self.trace(tail, back, n - cut[-1] + leave)[0]
@@ -225,7 +267,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, carry: tuple[str, ...]
 
     def short(part: dict) -> dict:
         p = pieces(vocabulary)
-        return {c: part[c] for c in names} | {"ids": [p.encode(t.decode()) for t in part["text"]]}
+        return {c: part[c] for c in names} | {"ids": p.encode_all([t.decode() for t in part["text"]])}
 
     small = map_slices(rows.where(~long), short, f"{types}, ids array<int>")
     return small.unionByName(encode_giant(rows.where(long), vocabulary, names, types))
