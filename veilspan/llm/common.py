@@ -26,30 +26,37 @@ def ddl(schema: str) -> T.StructType:
     return T.StructType.fromDDL(schema)
 
 
-def map_slices(df: DataFrame, fn: Callable[[dict], dict | None], schema: str, text: str = "text", done: Callable[[], dict | None] | None = None) -> DataFrame:
-    """Runs ``fn`` over slices of each partition: a dict of column -> list in, column -> list out.
+def slices(batches: Iterator[pa.RecordBatch], names: list[str], text: str = "text") -> Iterator[dict]:
+    """Cuts Arrow batches into dicts of column -> list of at most SLICE_BYTES of ``text`` (one row at least).
 
-    A slice holds at most SLICE_BYTES of the ``text`` column (one row at least), so memory stays
-    bounded whatever the Arrow batch holds. Text and binary columns arrive as bytes, a null text as b"".
+    Memory stays bounded whatever a batch holds. Texts arrive as bytes, a null text as b"".
     """
-    out_schema = to_arrow_schema(ddl(schema))
-    names = df.columns
+    for batch in batches:
+        n, at = batch.num_rows, 0
+        cols = {c: batch.column(i) for i, c in enumerate(names)}
+        texts = cols[text].cast(pa.large_binary() if pa.types.is_large_string(cols[text].type) else pa.binary())
+        while at < n:
+            rows, size, end = [], 0, at
+            while end < n and (end == at or size < SLICE_BYTES):
+                rows.append(texts[end].as_py() or b"")
+                size += len(rows[-1])
+                end += 1
+            yield {c: rows if c == text else v.slice(at, end - at).to_pylist() for c, v in cols.items()}
+            at = end
+
+
+def record(out: dict, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in schema], schema=schema)
+
+
+def map_slices(df: DataFrame, fn: Callable[[dict], dict | None], schema: str, text: str = "text") -> DataFrame:
+    """Runs ``fn`` over the slices of each partition: a dict of column -> list in, column -> list out."""
+    out_schema, names = to_arrow_schema(ddl(schema)), df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, at = batch.num_rows, 0
-            cols = {c: batch.column(i) for i, c in enumerate(names)}
-            texts = cols[text].cast(pa.large_binary() if pa.types.is_large_string(cols[text].type) else pa.binary())
-            while at < n:
-                rows, size, end = [], 0, at
-                while end < n and (end == at or size < SLICE_BYTES):
-                    rows.append(texts[end].as_py() or b"")
-                    size += len(rows[-1])
-                    end += 1
-                part = {c: rows if c == text else v.slice(at, end - at).to_pylist() for c, v in cols.items()}
-                at = end
-                if (out := fn(part)) is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in out_schema], schema=out_schema)
+        for part in slices(batches, names, text):
+            if (out := fn(part)) is not None:
+                yield record(out, out_schema)
 
     return df.mapInArrow(run, schema)
 

@@ -12,11 +12,13 @@ from .pii_crf import op3_semi_markov_crf
 from .pieces import op6_piece_scan
 from .quality_fm import op8_factorisation_machine
 from .simhash import op9_simhash_bitsliced
+from .substring_lz import op5_lz_factors
 
 QUERIES: dict[str, Callable] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op3_semi_markov_crf": op3_semi_markov_crf,
     "op4_simhash_windows": op4_simhash_windows,
+    "op5_lz_factors": op5_lz_factors,
     "op6_piece_scan": op6_piece_scan,
     "op7_chat_tokens": op7_chat_tokens,
     "op8_factorisation_machine": op8_factorisation_machine,
