@@ -9,6 +9,7 @@ from .compression_rules import op10_compression_bands
 from .decontaminate import op4_simhash_windows
 from .hilbert import op1_hilbert_shards, op1_sql
 from .pii_crf import op3_semi_markov_crf
+from .maxent_lm import op2_hashed_maxent
 from .pieces import op6_piece_scan
 from .quality_fm import op8_factorisation_machine
 from .simhash import op9_simhash_bitsliced
@@ -16,6 +17,7 @@ from .substring_lz import op5_lz_factors
 
 QUERIES: dict[str, Callable] = {
     "op1_hilbert_shards": op1_hilbert_shards,
+    "op2_hashed_maxent": op2_hashed_maxent,
     "op3_semi_markov_crf": op3_semi_markov_crf,
     "op4_simhash_windows": op4_simhash_windows,
     "op5_lz_factors": op5_lz_factors,
