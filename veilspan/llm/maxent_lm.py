@@ -113,7 +113,8 @@ class Tokens:
 
 def log_softmax(x: np.ndarray) -> np.ndarray:
     x -= x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+    x -= np.log(np.exp(x) @ np.ones((x.shape[1], 1), x.dtype))
+    return x
 
 
 class Model:
@@ -127,9 +128,11 @@ class Model:
 
     def parts(self, t: Tokens, at: slice) -> tuple:
         ra, rb = t.rows(at)
-        pa_ = log_softmax(self.v.class_bias + self.a[ra].sum(1))
-        pb = log_softmax(self.v.member_bias[t.cls[at]] + self.b[rb].sum(1))
-        return ra, rb, pa_, pb
+        pc, pm = np.broadcast_to(self.v.class_bias, (len(ra), CLASSES)).copy(), self.v.member_bias[t.cls[at]]
+        for k in range(FEATURES):
+            pc += np.take(self.a, ra[:, k], 0)
+            pm += np.take(self.b, rb[:, k], 0)
+        return ra, rb, log_softmax(pc), log_softmax(pm)
 
     def log10(self, t: Tokens) -> np.ndarray:
         """log10 probability of each token's member; what tells the words of the shared member apart is left out."""
@@ -153,7 +156,8 @@ class Model:
                 order = np.argsort(flat, kind="stable")
                 key = flat[order]
                 first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                grad = np.add.reduceat(g[order // FEATURES], first)
+                sums = np.cumsum(np.take(g, order // FEATURES, 0), 0, dtype=np.float64)[np.r_[first[1:], len(key)] - 1]
+                grad = np.diff(sums, axis=0, prepend=0).astype(np.float32)
                 row = key[first]
                 state[name][row] += grad * grad
                 w[row] += RATE * grad / np.sqrt(state[name][row])
