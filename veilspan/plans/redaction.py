@@ -1,0 +1,88 @@
+"""Redaction of a DataFrame of texts: detect, resolve, replace, report."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import masks
+from ..functions.text import normalise
+from ..operators.detect import RULES, candidates
+from ..operators.resolve import policy, with_resolved
+
+
+@dataclass(frozen=True)
+class Options:
+    policy: str = "balanced"
+    strategy: str = "label"  # label, asterisk, partial, tag
+    only: tuple[str, ...] | None = None
+
+    def __post_init__(self):
+        policy(self.policy)
+        if self.strategy not in ("label", "asterisk", "partial", "tag"):
+            raise ValueError(f"unknown strategy: {self.strategy}")
+        if self.only is not None and (bad := set(self.only) - {r.entity_type for r in RULES}):
+            raise ValueError(f"unknown types: {sorted(bad)}")
+
+
+def detect(df: DataFrame, options: Options = Options(), text: str = "text") -> DataFrame:
+    """Adds ``candidates``: all that the detectors find, in the normalised text, which replaces ``text``."""
+    return df.withColumn(text, normalise(F.col(text))).withColumn("candidates", candidates(F.col(text), options.only))
+
+
+def resolve(df: DataFrame, options: Options = Options(), text: str = "text") -> DataFrame:
+    """Adds ``spans``: disjoint candidates under the policy, by start."""
+    return with_resolved(detect(df, options, text), "candidates", policy(options.policy)).withColumnRenamed("candidates", "spans")
+
+
+def replaced(text: Column, spans: Column, replacement) -> Column:
+    """``text`` with each span replaced: gaps and replacements are folded from the left."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda s, c: F.struct(c["end"].alias("at"), F.concat(s["out"], F.substring(text, s["at"] + 1, c["start"] - s["at"]), replacement(c)).alias("out"))
+    return F.aggregate(spans, zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+
+
+def tagged(df: DataFrame) -> DataFrame:
+    """Adds ``index`` to each span: distinct canonical values are numbered by type in order of appearance."""
+    first = lambda c: F.filter("spans", lambda o: (o["entity_type"] == c["entity_type"]) & (o["start"] <= c["start"]))
+    own = lambda c: F.filter("spans", lambda o: (o["entity_type"] == c["entity_type"]) & (o["canonical"] == c["canonical"]))[0]
+    count = lambda c: F.size(F.array_distinct(F.transform(first(own(c)), lambda o: o["canonical"])))
+    return df.withColumn("spans", F.transform("spans", lambda c: c.withField("index", count(c))))
+
+
+def redact(df: DataFrame, options: Options = Options(), text: str = "text") -> DataFrame:
+    """Adds ``redacted``, ``spans``, ``n_redacted``, ``risk`` and ``warnings`` (one per invalid span kept)."""
+    out = resolve(df, options, text)
+    if options.strategy == "tag":
+        out = tagged(out)
+        by = lambda c: masks.token(None, c["entity_type"], c["index"])
+    else:
+        by = {"label": lambda c: masks.label(c["entity_type"]), "asterisk": lambda c: masks.asterisk(c["value"]), "partial": lambda c: masks.partial(c["value"], c["entity_type"])}[options.strategy]
+    invalid = F.filter("spans", lambda c: c["status"] == "invalid")
+    return out.select(
+        "*", replaced(F.col(text), F.col("spans"), by).alias("redacted"), F.size("spans").cast("long").alias("n_redacted"),
+        F.when(F.size(invalid) > 0, "medium").otherwise("low").alias("risk"), F.size(invalid).cast("long").alias("n_warnings"),
+    )
+
+
+def token_map(redacted: DataFrame, key: str) -> DataFrame:
+    """The sensitive table of a tag redaction: key, token, original (first spelling) and type."""
+    rows = redacted.select(key, F.explode("spans").alias("s"))
+    token = masks.token(None, F.col("s.entity_type"), F.col("s.index"))
+    return rows.groupBy(key, token.alias("token"), F.col("s.entity_type").alias("entity_type")).agg(F.min_by("s.value", "s.start").alias("original"))
+
+
+def unmask(redacted: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
+    """Puts originals back in one pass: the text is cut at brackets, and pieces that are tokens are looked up."""
+    maps = tokens.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("map"))
+    joined = redacted.join(maps, key, "left")
+    pieces = F.split("redacted", r"(?<=\])|(?=\[)")
+    return joined.withColumn("unmasked", F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at("map", p), p)), "")).drop("map")
+
+
+def report_summary(spans: Column) -> Column:
+    """``type: count`` of the spans, types in order of appearance."""
+    types = F.array_distinct(F.transform(spans, lambda c: c["entity_type"]))
+    return F.array_join(F.transform(types, lambda t: F.concat(t, F.lit(": "), F.size(F.filter(spans, lambda c: c["entity_type"] == t)).cast("string"))), ", ")
