@@ -140,10 +140,11 @@ def group_links(fps: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndar
             a, b = rows[some[x]], row_of[words[some[x]], y]
             real = (b >= 0) & (b != a)
             a, b = a[real], b[real]
-            lo = int(min(a.min(), b.min())) if len(a) else 0
-            hi = int(max(a.max(), b.max())) + 1 if len(a) else 0
-            if hi:  # only rows of this span change
-                root[lo:hi] = forest(np.r_[a, np.arange(lo, hi)] - lo, np.r_[b, np.maximum(root[lo:hi], lo)] - lo, hi - lo) + lo
+            if len(a):  # join the trees of both ends
+                ra, rb = root[a], root[b]
+                ends_, back = np.unique(np.r_[ra, rb], return_inverse=True)
+                root[ends_] = ends_[forest(back[: len(ra)], back[len(ra) :], len(ends_))]
+                root = root[root]
         at = upto
     moved = np.flatnonzero(root != np.arange(n))
     return fps[moved], fps[root[moved]]
