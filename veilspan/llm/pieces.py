@@ -41,6 +41,8 @@ MARK = "▁"
 GIANT_CHARS = 1 << 15
 CHUNK_CHARS = 1 << 14
 MOST_CHUNKS = 1 << 12
+#: Characters whose words are looked up together.
+LEARN_CHARS = 1 << 20
 UNIT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 LOW = -np.inf
 
@@ -151,7 +153,7 @@ class Pieces:
 
     def learn(self, parts: Iterable[str]) -> dict[str, list[int]]:
         """A memo that has the ids of all ``parts`` (units: no border inside)."""
-        if len(self.memo) > 300_000:
+        if len(self.memo) > 100_000:
             self.memo = {}
         if new := [u for u in set(parts) if u not in self.memo]:
             self.memo.update(zip(new, self.library.encode(new, num_threads=1), strict=True))
@@ -168,13 +170,22 @@ class Pieces:
                 out += self.unknown
         return out
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        cut = [units(marked(t)) for t in texts]
-        memo = self.learn(u for c in cut for u in c)
-        return [list(chain.from_iterable(map(memo.__getitem__, c))) for c in cut]
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; the units of about LEARN_CHARS are held at once."""
+        out: list[np.ndarray] = []
+        at = 0
+        while at < len(texts):
+            cut, size = [], 0
+            while at < len(texts) and size < LEARN_CHARS:
+                cut.append(units(marked(texts[at])))
+                size += len(texts[at])
+                at += 1
+            memo = self.learn(u for c in cut for u in c)
+            out += [np.fromiter(chain.from_iterable(map(memo.__getitem__, c)), np.int32) for c in cut]
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_all([text])[0]
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text; its first mark stands before the first word, and bytes that are no character become U+FFFD."""
