@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import canonical, checksums, masks
@@ -24,7 +24,11 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
 
 
-_KEY11 = F.lpad((F.col("o_orderkey") * 7919 + 10000000001).cast("string"), 11, "1")
+def _key11() -> Column:
+    """Eleven digits from the order key."""
+    return F.lpad((F.col("o_orderkey") * 7919 + 10000000001).cast("string"), 11, "1")
+
+
 _SQL11 = "lpad((o_orderkey * 7919 + 10000000001)::varchar, 11, '1')"
 _D = lambda x, i: f"substr({x}, {i}, 1)::int"
 
@@ -100,34 +104,34 @@ def escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tckn_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orders(spark, sf_dir).select("o_orderkey", _KEY11.alias("value"), checksums.tckn_valid(_KEY11).alias("valid"))
+    return _orders(spark, sf_dir).select("o_orderkey", _key11().alias("value"), checksums.tckn_valid(_key11()).alias("valid"))
 
 
 def vkn_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.right(_KEY11, F.lit(10))
+    x = F.right(_key11(), F.lit(10))
     return _orders(spark, sf_dir).select("o_orderkey", checksums.vkn_valid(x).alias("valid"))
 
 
 def iban_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.concat(F.lit("TR33"), F.rpad(_KEY11, 22, "7"))
+    x = F.concat(F.lit("TR33"), F.rpad(_key11(), 22, "7"))
     return _orders(spark, sf_dir).select("o_orderkey", checksums.iban_valid(x).alias("valid"))
 
 
 def luhn_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orders(spark, sf_dir).select("o_orderkey", checksums.luhn_valid(F.concat(F.lit("45320"), _KEY11)).alias("valid"))
+    return _orders(spark, sf_dir).select("o_orderkey", checksums.luhn_valid(F.concat(F.lit("45320"), _key11())).alias("valid"))
 
 
 def partial_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, t = _orders(spark, sf_dir), F.lit
     return o.select(
-        "o_orderkey", masks.partial(_KEY11, t("TCKN")).alias("tckn"), masks.partial(F.right(_KEY11, F.lit(10)), t("VKN")).alias("vkn"),
-        masks.partial(F.concat(t("+90"), F.right(_KEY11, F.lit(10))), t("TELEFON")).alias("phone"), masks.partial(F.concat(t("user"), _KEY11, t("@example.com")), t("EPOSTA")).alias("email"),
-        masks.partial(F.concat(t("45320"), _KEY11), t("KREDI_KARTI")).alias("card"), masks.asterisk(F.concat(t("a b"), _KEY11)).alias("stars"),
+        "o_orderkey", masks.partial(_key11(), t("TCKN")).alias("tckn"), masks.partial(F.right(_key11(), F.lit(10)), t("VKN")).alias("vkn"),
+        masks.partial(F.concat(t("+90"), F.right(_key11(), F.lit(10))), t("TELEFON")).alias("phone"), masks.partial(F.concat(t("user"), _key11(), t("@example.com")), t("EPOSTA")).alias("email"),
+        masks.partial(F.concat(t("45320"), _key11()), t("KREDI_KARTI")).alias("card"), masks.asterisk(F.concat(t("a b"), _key11())).alias("stars"),
     )
 
 
 def canonical_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.concat(F.lit("5"), F.right(_KEY11, F.lit(9)))
+    n = F.concat(F.lit("5"), F.right(_key11(), F.lit(9)))
     forms = F.array(F.concat(F.lit("+90 "), n), F.concat(F.lit("0090"), n), F.concat(F.lit("0"), n), n)
     return _orders(spark, sf_dir).select("o_orderkey", F.explode(forms).alias("spelling")).select("o_orderkey", "spelling", canonical.phone(F.col("spelling")).alias("phone"))
 
