@@ -41,5 +41,10 @@ def plate(x: Column) -> Column:
     return F.upper(F.regexp_replace(x, r"[\s.-]+", ""))
 
 
+def plate_spaced(x: Column) -> Column:
+    """Province, letters and digits, one space apart."""
+    return F.upper(F.regexp_replace(x, r"^([0-9]{2})[\s-]*([A-Za-z]{1,3})[\s-]*([0-9]{2,4})$", "$1 $2 $3"))
+
+
 def compact(x: Column) -> Column:
     return F.regexp_replace(x, r"\s+", "")

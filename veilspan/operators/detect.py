@@ -15,7 +15,7 @@ from ..functions import checksums as V
 from ..functions.text import spans
 
 END = r"\s*[:\-/]?\s*$"
-CANDIDATE = "array<struct<start:int,end:int,value:string,entity_type:string,canonical:string,confidence:double,rule_id:string,status:string,labelled:boolean,priority:int>>"
+CANDIDATE = "array<struct<start:int,end:int,value:string,entity_type:string,canonical:string,confidence:double,rule_id:string,status:string,labelled:boolean,priority:int,bonus:int>>"
 
 
 @dataclass(frozen=True)
@@ -37,6 +37,19 @@ class Rule:
 
 OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
 PHONE_LEAD = r"(?:(?:\+90|0090|90)\s*)?"
+# Province, letters, digits; ordinary phrases of the same shape are no plates unless a plate word is next to them.
+PROVINCE = "(?:0[1-9]|[1-7][0-9]|8[01])"
+PLATE_BODY = PROVINCE + r"[\s-]*[A-Za-z]{1,3}[\s-]*[0-9]{2,4}"
+PLATE_START, PLATE_END = r"(?<![\p{L}\p{N}_])(?<![0-9][./])", r"(?![\p{L}\p{N}_]|[./][0-9])"
+PHRASE = PROVINCE + r"\s+(?:ve|ile|ila|and|or|to|tl|kg|gr|lt|cm|mm|ml|m|l|may|May)\s+[0-9]{2,4}" + PLATE_END
+PHRASE_UPPER = PROVINCE + r"\s+(?i:ve|ile|ila|tl|kg|gr|lt|cm|mm|ml|m|l)\s+[0-9]{2,4}" + PLATE_END + r"(?=\s+(?iu:madde(?:leri|ler|si)?|arasında|kuruş|TL|kg|gr|lt|cm|mm|ml)(?!\p{L}))"
+PLATE = (
+    rf"(?<=(?<![\p{{L}}\p{{N}}_])(?iu:plaka(?:sı)?|araç)\s{{0,5}}[:/=-]?\s{{0,5}}){PLATE_BODY}{PLATE_END}"
+    rf"|{PLATE_START}{PLATE_BODY}{PLATE_END}(?=\s+(?iu:plakalı|plakası|plaka)(?!\p{{L}}))"
+    rf"|{PLATE_START}(?!{PHRASE}|{PHRASE_UPPER}){PLATE_BODY}{PLATE_END}"
+)
+_H, _NO_H_BEFORE, _NO_H_AFTER = "[0-9a-fA-F]{1,4}", "(?<![a-fA-F0-9:])", "(?![a-fA-F0-9:])"
+IPV6 = "|".join(f"{_NO_H_BEFORE}{body}{_NO_H_AFTER}" for body in (f"(?:{_H}:){{7}}{_H}", f"(?:{_H}:){{1,7}}:", f"::(?:{_H}:){{0,6}}{_H}", f"(?:{_H}:){{1,6}}:{_H}"))
 # The detectors in their fixed order.
 RULES = (
     Rule("TCKN", "TCKN_CHECKSUM", (r"(?<![0-9])(?:[0-9]{11}|[0-9]{3}[\s.-][0-9]{3}[\s.-][0-9]{3}[\s.-][0-9]{2})(?![0-9])",), r"(?i)(?:TCKN|T\.?C\.?\s*Kimlik\s*No(?:su)?|Kimlik\s*No(?:su)?)" + END, 30, C.digits, (0.85, 0.55), (95, 95), V.tckn_valid),
@@ -54,6 +67,8 @@ RULES = (
     Rule("KARAR_NO", "KARAR_NO", (r"(?i)(?<=Karar\s{0,3}No\s{0,3}[:\-/]\s{0,3})[0-9]{4}\s*[/-]\s*[0-9]+\b|\b[0-9]{4}\s*[/-]\s*[0-9]+(?=\s*(?:K\.|Karar)\b)",), "", 0, C.compact, (0.9, 0.9), (74, 74)),
     Rule("DOSYA_NO", "DOSYA_NO", (r"(?i)(?<=Dosya\s{0,3}No\s{0,3}[:\-/]\s{0,3})(?:[0-9]{4}\s*[/-]\s*[0-9]+|[0-9]{5,12})\b",), "", 0, C.compact, (0.9, 0.9), (73, 73)),
     Rule("IP_ADRESI", "IP_V4", (rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9.])",), "", 0, lambda v: v, (0.6, 0.6), (68, 68), lambda v: ~v.rlike(r"(^|\.)0[0-9]"), 0.95),
+    Rule("PLAKA", "PLAKA_CLASSIC", (PLATE,), r"(?iu)(?:Plaka(?:sı)?|Araç)\s*[:\-/]?\s*$", 25, C.plate_spaced, (0.95, 0.85), (60, 60)),
+    Rule("IP_ADRESI", "IP_V6", (IPV6,), "", 0, F.lower, (0.95, 0.95), (69, 69), lambda v: F.lit(True), 0.95),
 )
 #: Types whose label is part of the pattern itself.
 LABEL_IS_PATTERN = ("ESAS_NO", "KARAR_NO", "DOSYA_NO")
@@ -74,12 +89,14 @@ def candidates_of(text: Column, rule: Rule) -> Column:
             confidence = F.when(ok, rule.valid_confidence).otherwise(confidence)
             if rule.entity_type == "VKN":
                 priority = F.when(labelled | ok, 88).when(value.startswith("5"), 70).otherwise(80)
+        if rule.entity_type == "PLAKA":
+            confidence = F.when(labelled, 0.95).when(value.rlike("[ -]"), 0.85).otherwise(0.7)
         if rule.entity_type == "TELEFON":
             confidence = confidence - F.when(value.rlike(r"(?:\+90|0090)\s*0[2-5]"), 0.15).otherwise(0.0)
             priority = F.when(labelled, 89).when(value.contains("(") | value.contains("+90"), 86).otherwise(82)
         return F.struct(
             m["start"].alias("start"), (m["start"] + F.length(value)).alias("end"), value.alias("value"), F.lit(rule.entity_type).alias("entity_type"), rule.canonical(value).alias("canonical"),
-            confidence.cast("double").alias("confidence"), F.lit(rule.rule_id).alias("rule_id"), status.alias("status"), labelled.alias("labelled"), priority.cast("int").alias("priority"),
+            confidence.cast("double").alias("confidence"), F.lit(rule.rule_id).alias("rule_id"), status.alias("status"), labelled.alias("labelled"), priority.cast("int").alias("priority"), F.lit(0).alias("bonus"),
         )
 
     if rule.keep is not None:
@@ -87,13 +104,36 @@ def candidates_of(text: Column, rule: Rule) -> Column:
     return F.transform(found, one).cast(CANDIDATE)
 
 
+@dataclass(frozen=True)
+class Custom:
+    """A pattern of the user (Java syntax); an unknown validator's name makes every match valid."""
+
+    rule_id: str
+    entity_type: str
+    regex: str
+    validator: str | None = None
+    priority: int = 50
+
+    def rule(self) -> Rule:
+        valid = None if self.validator is None else V.VALIDATORS.get(self.validator.split("_")[0], lambda v: F.lit(True))
+        unchecked = 0.85 if valid is None else 0.6
+        return Rule(self.entity_type, self.rule_id, (self.regex,), "", 0, lambda v: v, (unchecked, unchecked), (self.priority, self.priority), valid)
+
+
 # References to statutes are no identifiers.
-EXCLUDED = (r"\bm\.\s*[0-9]+", r"\bmadde\s+[0-9]+", r"\b[0-9]+/[0-9]+\s*md\.")
+EXCLUDED = (r"\bm\.\s*[0-9]+", r"\bmadde\s+[0-9]+", r"[0-9]+\s*/\s*[0-9]+\s*(?:md\.?|gm\.?|em\.?)")
+#: Types that pattern rules find; names and addresses are found by ``contextual``.
+TYPES = tuple(dict.fromkeys(r.entity_type for r in RULES)) + ("KISI", "ADRES")
+
+
+def candidates(text: Column, only: tuple[str, ...] | None = None, custom: tuple[Custom, ...] = ()) -> Column:
+    """Candidates of the pattern rules of the wanted types; unwanted detectors are not built."""
+    rules = [r for r in (*RULES, *(c.rule() for c in custom)) if only is None or r.entity_type in only]
+    found = [candidates_of(text, r) for r in rules]
+    return F.array_distinct(F.concat(*found)) if found else F.array().cast(CANDIDATE)
 
 
-def candidates(text: Column, only: tuple[str, ...] | None = None) -> Column:
-    """All candidates of the wanted types that meet no excluded stretch; unwanted detectors are not built."""
-    rules = [r for r in RULES if only is None or r.entity_type in only]
-    found = F.array_distinct(F.concat(*(candidates_of(text, r) for r in rules)))
+def not_excluded(found: Column, text: Column) -> Column:
+    """Without candidates that meet an excluded stretch of ``text``, whose positions they use."""
     excluded = F.concat(*(spans(text, f"(?i){p}") for p in EXCLUDED))
     return F.filter(found, lambda c: ~F.exists(excluded, lambda x: (c["start"] < x["end"]) & (c["end"] > x["start"])))

@@ -39,7 +39,7 @@ def allowed(c: Column, p: Policy) -> Column:
 
 
 def score(c: Column) -> Column:
-    evidence = F.when(c["status"] == "valid", 500).when(c["status"] == "invalid", -350).otherwise(0) + F.when(c["labelled"], 400).otherwise(0)
+    evidence = F.when(c["status"] == "valid", 500).when(c["status"] == "invalid", -350).otherwise(0) + F.when(c["labelled"], 400).otherwise(0) + c["bonus"]
     return F.greatest(F.lit(0.1), c["priority"] * 100 + evidence + c["confidence"] * 100 + F.least(F.octet_length(c["value"]), F.lit(30)))
 
 

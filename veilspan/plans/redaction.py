@@ -9,27 +9,51 @@ from pyspark.sql import functions as F
 
 from ..functions import masks
 from ..functions.text import normalise
-from ..operators.detect import RULES, candidates
+from ..operators.contextual import FIRST_NAMES, contextual
+from ..operators.detect import CANDIDATE, TYPES, Custom, candidates, not_excluded
+from ..operators.false_positives import dropped
+from ..operators.positions import to_original
 from ..operators.resolve import policy, with_resolved
 
 
 @dataclass(frozen=True)
 class Options:
+    """``first_names`` extends the dictionary of names; ``dictionary`` switches its scan off."""
+
     policy: str = "balanced"
     strategy: str = "label"  # label, asterisk, partial, tag
     only: tuple[str, ...] | None = None
+    custom: tuple[Custom, ...] = ()
+    names: bool = True
+    dictionary: bool = True
+    first_names: frozenset[str] = FIRST_NAMES
+    preserve_legal_facts: bool = False
 
     def __post_init__(self):
         policy(self.policy)
         if self.strategy not in ("label", "asterisk", "partial", "tag"):
             raise ValueError(f"unknown strategy: {self.strategy}")
-        if self.only is not None and (bad := set(self.only) - {r.entity_type for r in RULES}):
+        known = {*TYPES, *(c.entity_type for c in self.custom)}
+        if self.only is not None and (bad := set(self.only) - known):
             raise ValueError(f"unknown types: {sorted(bad)}")
 
+    def wanted(self, kind: str) -> bool:
+        return (self.only is None or kind in self.only) and (kind != "KISI" or self.names)
+
 
 def detect(df: DataFrame, options: Options = Options(), text: str = "text") -> DataFrame:
-    """Adds ``candidates``: all that the detectors find, in the normalised text, which replaces ``text``."""
-    return df.withColumn(text, normalise(F.col(text))).withColumn("candidates", candidates(F.col(text), options.only))
+    """Adds ``candidates``: all that the detectors find. They scan the normalised text; positions and values are the original's."""
+    out = df.withColumn("_plain", normalise(F.col(text)))
+    found = candidates(F.col("_plain"), options.only, options.custom)
+    kinds = tuple(k for k in ("KISI", "ADRES") if options.wanted(k))
+    if kinds:
+        out = out.withColumn("_context", contextual(F.col("_plain"), kinds, options.first_names, options.dictionary))
+        found = F.concat(found, F.coalesce("_context", F.array().cast(CANDIDATE)))
+    out = to_original(out.withColumn("candidates", found), text, "candidates")
+    kept = not_excluded(F.col("candidates"), F.col(text))
+    if options.preserve_legal_facts:
+        kept = F.filter(kept, lambda c: ~dropped(F.col(text), c))
+    return out.withColumn("candidates", kept).drop("_plain", "_context")
 
 
 def resolve(df: DataFrame, options: Options = Options(), text: str = "text") -> DataFrame:

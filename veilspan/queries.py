@@ -9,7 +9,7 @@ from .functions import canonical, checksums, masks
 from .functions.text import byte_offset, html_escape, normalise
 from .operators.detect import candidates
 from .operators.resolve import POLICIES
-from .plans.redaction import Options, redact, report_summary, resolve, token_map, unmask
+from .plans.redaction import Options, detect, redact, report_summary, resolve, token_map, unmask
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def redact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detect_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidates with UTF-8 byte offsets."""
-    rows = _docs(spark, sf_dir).select("doc_id", "text", F.explode(candidates(F.col("text"))).alias("c"))
+    rows = detect(_docs(spark, sf_dir)).select("doc_id", "text", F.explode("candidates").alias("c"))
     return rows.select("doc_id", "c.entity_type", "c.rule_id", byte_offset(F.col("text"), F.col("c.start")).alias("start"), byte_offset(F.col("text"), F.col("c.end")).alias("end"), "c.status", "c.confidence", "c.priority")
 
 
