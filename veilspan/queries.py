@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import canonical, checksums, masks
+from .functions.identity import scrub_identity
 from .functions.text import byte_offset, html_escape, normalise
-from .operators.detect import candidates
+from .operators.detect import Custom, candidates
+from .operators.false_positives import legal_fact
 from .operators.resolve import POLICIES
+from .operators.validate import REVIEW_WORDS, review_word, validate
 from .plans.redaction import Options, detect, redact, report_summary, resolve, token_map, unmask
+from .plans.sessions import redact_sessions, unmask_sessions
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,9 +140,67 @@ def canonical_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir).select("o_orderkey", F.explode(forms).alias("spelling")).select("o_orderkey", "spelling", canonical.phone(F.col("spelling")).alias("phone"))
 
 
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sentence an order with a name, a plate, an address, an IPv6 address and an order number."""
+    k = F.col("o_orderkey").cast("string")
+    text = F.concat(
+        F.lit("Davacı Ayşe Demir, plaka: 34 ABC "), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 4, "0"), F.lit(", sunucu fe80::1, ORD-"), F.lpad(k, 8, "0"),
+        F.lit(".\nAdres: Atatürk Mahallesi No: "), k, F.lit(" Ankara\nSayın Ali Kaya'ya 24 ve 25 maddeleri iletildi."),
+    )
+    return _orders(spark, sf_dir).select("o_orderkey", text.alias("text"))
+
+
+def redact_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, plates, addresses, IPv6 addresses and a pattern of the user."""
+    options = Options(custom=(Custom("ORDER", "SIPARIS_NO", r"\bORD-[0-9]{8}\b"),))
+    return redact(_sentences(spark, sf_dir), options).select("o_orderkey", "redacted", "n_redacted")
+
+
+def redact_original_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with deleted characters and carriage returns are redacted in their own positions."""
+    text = F.concat(F.lit("\u200bTel:\u00a00532\r\n"), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 3, "0"), F.lit(" 4\u200b5 67\r\nson\u200b"))
+    return redact(_orders(spark, sf_dir).select("o_orderkey", text.alias("text"))).select("o_orderkey", "redacted", "n_redacted")
+
+
+def residual_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = validate(redact(_docs(spark, sf_dir)))
+    return out.select("doc_id", "residual", "review_word", "risk", "status", "needs_review")
+
+
+def review_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", review_word(F.col("text")).alias("review_word"))
+
+
+def session_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct e-mail addresses by source, numbered in order of appearance."""
+    _, found = redact_sessions(_docs(spark, sf_dir).withColumn("session", F.md5("source")), "doc_id", "session", "doc_id", Options(only=("EPOSTA",)))
+    return found.select("session", "token", "original")
+
+
+def session_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions by source; what unmasking puts back, e-mail addresses in their first spelling."""
+    docs = _docs(spark, sf_dir).withColumn("session", F.md5("source"))
+    out, found = redact_sessions(docs, "doc_id", "session", "doc_id", Options(only=("EPOSTA",)))
+    return unmask_sessions(out, found, "doc_id", "session").select("doc_id", F.lower("unmasked").alias("unmasked"), "unsafe")
+
+
+def legal_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates are facts unless a birth is named next to them."""
+    d = F.concat(F.lpad((F.col("o_orderkey") % 28 + 1).cast("string"), 2, "0"), F.lit(".05."), (F.col("o_orderkey") % 50 + 1950).cast("string"))
+    rows = _orders(spark, sf_dir).select("o_orderkey", F.explode(F.array(F.lit("Tebliğ: "), F.lit("DOĞUM TARİHİ: "), F.lit("D.T.: "))).alias("label"), d.alias("d"))
+    text = F.concat("label", "d")
+    return rows.select("o_orderkey", "label", legal_fact(text, F.length("label"), F.length(text), F.lit("DOGUM_TARIHI")).alias("fact"))
+
+
+def identity_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey").cast("string")
+    rows = _orders(spark, sf_dir).select("o_orderkey", F.concat(F.lit("Sipariş "), k, F.lit(". I am Qwen, a large language model. Tamam.")).alias("text"))
+    return scrub_identity(rows)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (redact_label, redact_asterisk, redact_all, redact_partial, redact_pages, detect_spans, counts_by_type, cards_luhn, policy_comparison, tokens, unmask_round_trip, summary, normalised, escaped, tckn_check, vkn_check, iban_check, luhn_check, partial_masks, canonical_phones)
+    for f in (redact_label, redact_asterisk, redact_all, redact_partial, redact_pages, detect_spans, counts_by_type, cards_luhn, policy_comparison, tokens, unmask_round_trip, summary, normalised, escaped, tckn_check, vkn_check, iban_check, luhn_check, partial_masks, canonical_phones, redact_sentences, redact_original_positions, residual_check, review_words, session_tokens, session_round_trip, legal_facts, identity_statements)
 }
 
 _EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
@@ -163,4 +225,13 @@ select doc_id, count(*) as n_cards, sum(case when ({_luhn}) % 10 = 0 then 1 else
     "partial_masks": f"""select o_orderkey, left(k, 3) || '*****' || right(k, 3) as tckn, left(right(k, 10), 3) || '****' || right(k, 3) as vkn, '+90 ' || left(right(k, 10), 3) || ' *** ** ' || right(k, 2) as phone,
 'u***' || right(k, 1) || '@example.com' as email, '**** **** **** ' || right(k, 4) as card, '* *' || repeat('*', length(k)) as stars from (select o_orderkey, {_T} as k from orders)""",
     "canonical_phones": f"select o_orderkey, unnest(['+90 ' || n, '0090' || n, '0' || n, n]) as spelling, '+90' || n as phone from (select o_orderkey, '5' || right({_T}, 9) as n from orders)",
+    "redact_sentences": """select o_orderkey, 'Davacı [KISI], plaka: [PLAKA], sunucu [IP_ADRESI], [SIPARIS_NO].' || chr(10) || 'Adres: [ADRES]' || chr(10) || 'Sayın [KISI]''ya 24 ve 25 maddeleri iletildi.' as redacted, 6::bigint as n_redacted from orders""",
+    "redact_original_positions": "select o_orderkey, chr(8203) || 'Tel:' || chr(160) || '[TELEFON]' || chr(13) || chr(10) || 'son' || chr(8203) as redacted, 1::bigint as n_redacted from orders",
+    "review_words": "select doc_id, case " + " ".join(f"when contains(lower(text), '{w}') then '{w}'" for w in REVIEW_WORDS) + " end as review_word from (select doc_id, coalesce(text, '') as text from documents)",
+    "session_tokens": f"""with m as (select md5(source) as session, doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{_EMAIL}')) as v, generate_subscripts(regexp_extract_all(coalesce(text, ''), '{_EMAIL}'), 1) as i from documents),
+c as (select session, left(v, position('@' in v)) || lower(substr(v, position('@' in v) + 1)) as canonical, arg_min(v, (doc_id, i)) as original, min((doc_id, i)) as first from m group by 1, 2)
+select session, '⟦RDT:' || session || ':EPOSTA:' || row_number() over (partition by session order by first) || '⟧' as token, original from c""",
+    "session_round_trip": "select doc_id, lower(coalesce(text, '')) as unmasked, false as unsafe from documents",
+    "legal_facts": "select o_orderkey, label, label = 'Tebliğ: ' as fact from orders, (select unnest(['Tebliğ: ', 'DOĞUM TARİHİ: ', 'D.T.: ']) as label)",
+    "identity_statements": "select o_orderkey, 'Sipariş ' || o_orderkey || '. [ASİSTAN]. Tamam.' as text, 1::bigint as n_replaced from orders",
 }
