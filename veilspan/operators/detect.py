@@ -43,13 +43,14 @@ PLATE_BODY = PROVINCE + r"[\s-]*[A-Za-z]{1,3}[\s-]*[0-9]{2,4}"
 PLATE_START, PLATE_END = r"(?<![\p{L}\p{N}_])(?<![0-9][./])", r"(?![\p{L}\p{N}_]|[./][0-9])"
 PHRASE = PROVINCE + r"\s+(?:ve|ile|ila|and|or|to|tl|kg|gr|lt|cm|mm|ml|m|l|may|May)\s+[0-9]{2,4}" + PLATE_END
 PHRASE_UPPER = PROVINCE + r"\s+(?i:ve|ile|ila|tl|kg|gr|lt|cm|mm|ml|m|l)\s+[0-9]{2,4}" + PLATE_END + r"(?=\s+(?iu:madde(?:leri|ler|si)?|arasında|kuruş|TL|kg|gr|lt|cm|mm|ml)(?!\p{L}))"
+# A cheap look-ahead first: most positions fail it and never reach the look-behinds.
 PLATE = (
-    rf"(?<=(?<![\p{{L}}\p{{N}}_])(?iu:plaka(?:sı)?|araç)\s{{0,5}}[:/=-]?\s{{0,5}}){PLATE_BODY}{PLATE_END}"
+    rf"(?=[0-8])(?:(?<=(?<![\p{{L}}\p{{N}}_])(?iu:plaka(?:sı)?|araç)\s{{0,5}}[:/=-]?\s{{0,5}}){PLATE_BODY}{PLATE_END}"
     rf"|{PLATE_START}{PLATE_BODY}{PLATE_END}(?=\s+(?iu:plakalı|plakası|plaka)(?!\p{{L}}))"
-    rf"|{PLATE_START}(?!{PHRASE}|{PHRASE_UPPER}){PLATE_BODY}{PLATE_END}"
+    rf"|{PLATE_START}(?!{PHRASE}|{PHRASE_UPPER}){PLATE_BODY}{PLATE_END})"
 )
 _H, _NO_H_BEFORE, _NO_H_AFTER = "[0-9a-fA-F]{1,4}", "(?<![a-fA-F0-9:])", "(?![a-fA-F0-9:])"
-IPV6 = "|".join(f"{_NO_H_BEFORE}{body}{_NO_H_AFTER}" for body in (f"(?:{_H}:){{7}}{_H}", f"(?:{_H}:){{1,7}}:", f"::(?:{_H}:){{0,6}}{_H}", f"(?:{_H}:){{1,6}}:{_H}"))
+IPV6 = "(?=[0-9a-fA-F]{0,4}:)(?:" + "|".join(f"{_NO_H_BEFORE}{body}{_NO_H_AFTER}" for body in (f"(?:{_H}:){{7}}{_H}", f"(?:{_H}:){{1,7}}:", f"::(?:{_H}:){{0,6}}{_H}", f"(?:{_H}:){{1,6}}:{_H}")) + ")"
 # The detectors in their fixed order.
 RULES = (
     Rule("TCKN", "TCKN_CHECKSUM", (r"(?<![0-9])(?:[0-9]{11}|[0-9]{3}[\s.-][0-9]{3}[\s.-][0-9]{3}[\s.-][0-9]{2})(?![0-9])",), r"(?i)(?:TCKN|T\.?C\.?\s*Kimlik\s*No(?:su)?|Kimlik\s*No(?:su)?)" + END, 30, C.digits, (0.85, 0.55), (95, 95), V.tckn_valid),
@@ -63,9 +64,9 @@ RULES = (
     Rule("EPOSTA", "EPOSTA_RFC", (r"(?<![a-zA-Z0-9._%+-])[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}(?![a-zA-Z0-9])",), "", 0, C.email, (0.6, 0.6), (70, 70), lambda v: ~v.rlike(r"^\.|\.\.|\.@|@[.-]|-\.|\.-")),
     Rule("KREDI_KARTI", "KREDI_KARTI_LUHN", (r"(?<![0-9])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{13,19})(?![0-9])",), r"(?i)(?:Kredi\s*Kartı|Kart\s*No(?:su)?|Card\s*Number|PAN)" + END, 35, C.digits, (0.85, 0.45), (98, 98), V.luhn_valid),
     Rule("MERSIS", "MERSIS_16", (r"(?<![0-9])0[0-9]{15}(?![0-9])",), r"(?i)(?:MERSİS|Mersis\s*(?:No(?:su)?)?)" + END, 30, C.digits, (0.95, 0.8), (92, 88)),
-    Rule("ESAS_NO", "ESAS_NO", (r"(?i)(?<=Esas\s{0,3}No\s{0,3}[:\-/]\s{0,3})[0-9]{4}\s*[/-]\s*[0-9]+\b|\b[0-9]{4}\s*[/-]\s*[0-9]+(?=\s*(?:E\.|Esas)\b)",), "", 0, C.compact, (0.9, 0.9), (75, 75)),
-    Rule("KARAR_NO", "KARAR_NO", (r"(?i)(?<=Karar\s{0,3}No\s{0,3}[:\-/]\s{0,3})[0-9]{4}\s*[/-]\s*[0-9]+\b|\b[0-9]{4}\s*[/-]\s*[0-9]+(?=\s*(?:K\.|Karar)\b)",), "", 0, C.compact, (0.9, 0.9), (74, 74)),
-    Rule("DOSYA_NO", "DOSYA_NO", (r"(?i)(?<=Dosya\s{0,3}No\s{0,3}[:\-/]\s{0,3})(?:[0-9]{4}\s*[/-]\s*[0-9]+|[0-9]{5,12})\b",), "", 0, C.compact, (0.9, 0.9), (73, 73)),
+    Rule("ESAS_NO", "ESAS_NO", (r"(?i)(?=[0-9])(?:(?<=Esas\s{0,3}No\s{0,3}[:\-/]\s{0,3})[0-9]{4}\s*[/-]\s*[0-9]+\b|\b[0-9]{4}\s*[/-]\s*[0-9]+(?=\s*(?:E\.|Esas)\b))",), "", 0, C.compact, (0.9, 0.9), (75, 75)),
+    Rule("KARAR_NO", "KARAR_NO", (r"(?i)(?=[0-9])(?:(?<=Karar\s{0,3}No\s{0,3}[:\-/]\s{0,3})[0-9]{4}\s*[/-]\s*[0-9]+\b|\b[0-9]{4}\s*[/-]\s*[0-9]+(?=\s*(?:K\.|Karar)\b))",), "", 0, C.compact, (0.9, 0.9), (74, 74)),
+    Rule("DOSYA_NO", "DOSYA_NO", (r"(?i)(?=[0-9])(?:(?<=Dosya\s{0,3}No\s{0,3}[:\-/]\s{0,3})(?:[0-9]{4}\s*[/-]\s*[0-9]+|[0-9]{5,12})\b)",), "", 0, C.compact, (0.9, 0.9), (73, 73)),
     Rule("IP_ADRESI", "IP_V4", (rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9.])",), "", 0, lambda v: v, (0.6, 0.6), (68, 68), lambda v: ~v.rlike(r"(^|\.)0[0-9]"), 0.95),
     Rule("PLAKA", "PLAKA_CLASSIC", (PLATE,), r"(?iu)(?:Plaka(?:sı)?|Araç)\s*[:\-/]?\s*$", 25, C.plate_spaced, (0.95, 0.85), (60, 60)),
     Rule("IP_ADRESI", "IP_V6", (IPV6,), "", 0, F.lower, (0.95, 0.95), (69, 69), lambda v: F.lit(True), 0.95),
