@@ -14,14 +14,15 @@ from .operators.resolve import POLICIES
 from .operators.validate import REVIEW_WORDS, review_word, validate
 from .plans.redaction import Options, detect, redact, report_summary, resolve, token_map, unmask
 from .plans.sessions import redact_sessions, unmask_sessions
+from .sources import spread
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.coalesce("html", F.lit("")).alias("text"))
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet")).select(F.col("page_id").alias("doc_id"), F.coalesce("html", F.lit("")).alias("text"))
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,17 @@ def read_texts(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.format(fmt).load(path)
 
 
+#: A table below this size for each core may hold fewer row groups than there are cores.
+SMALL = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Shares the rows of a small table among the cores; a large one keeps its scan's partitions and is not shuffled."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if size < cores * SMALL else df
+
+
 #: Columns of a redaction that hold originals.
 SENSITIVE = ("text", "spans", "candidates")
 
