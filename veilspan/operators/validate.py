@@ -42,5 +42,7 @@ def validate(redacted: DataFrame, text: str = "text", words: bool = True) -> Dat
     out = redacted.withColumn("residual", residual(F.col("redacted")))
     out = out.withColumn("review_word", review_word(F.col(text)) if words else F.lit(None).cast("string"))
     leak, word = F.size("residual") > 0, F.col("review_word").isNotNull()
-    risk = F.when(leak, "high").when(word, "medium").otherwise(F.col("risk"))
-    return out.withColumn("risk", risk).withColumn("status", F.when(leak, "review_required").otherwise("completed")).withColumn("needs_review", leak | word)
+    asked = F.col("needs_review") if "needs_review" in redacted.columns else F.lit(False)
+    risk = F.when(leak | (F.col("risk") == "high"), "high").when(word, "medium").otherwise(F.col("risk"))
+    status = F.when(leak | asked, "review_required").otherwise("completed")
+    return out.withColumn("risk", risk).withColumn("status", status).withColumn("needs_review", leak | word | asked)

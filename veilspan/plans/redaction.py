@@ -8,17 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import masks
-from ..functions.text import normalise
+from ..functions.text import normalise, spans as matches
 from ..operators.contextual import FIRST_NAMES, contextual
-from ..operators.detect import CANDIDATE, TYPES, Custom, candidates, not_excluded
-from ..operators.false_positives import dropped
+from ..operators.detect import CANDIDATE, PLATE, TYPES, Custom, candidates, not_excluded
+from ..operators.false_positives import dropped, mistake
+from ..operators.model_detector import Model, as_candidates, found, narrowed
 from ..operators.positions import to_original
-from ..operators.resolve import policy, with_resolved
+from ..operators.resolve import MODEL_RULE, policy, with_covered, with_resolved
+from .lineage import cut
 
 
 @dataclass(frozen=True)
 class Options:
-    """``first_names`` extends the dictionary of names; ``dictionary`` switches its scan off."""
+    """``first_names`` extends the dictionary of names; ``dictionary`` switches its scan off; ``model`` adds a language model's candidates."""
 
     policy: str = "balanced"
     strategy: str = "label"  # label, asterisk, partial, tag
@@ -28,37 +30,57 @@ class Options:
     dictionary: bool = True
     first_names: frozenset[str] = FIRST_NAMES
     preserve_legal_facts: bool = False
+    model: Model | None = None
 
     def __post_init__(self):
         policy(self.policy)
         if self.strategy not in ("label", "asterisk", "partial", "tag"):
             raise ValueError(f"unknown strategy: {self.strategy}")
-        known = {*TYPES, *(c.entity_type for c in self.custom)}
+        known = {*TYPES, *(c.entity_type for c in self.custom), *(self.model.types if self.model else ())}
         if self.only is not None and (bad := set(self.only) - known):
             raise ValueError(f"unknown types: {sorted(bad)}")
 
     def wanted(self, kind: str) -> bool:
         return (self.only is None or kind in self.only) and (kind != "KISI" or self.names)
 
+    @property
+    def asked(self) -> Model | None:
+        """The model, for the wanted types only."""
+        own = narrowed(self.model, self.wanted) if self.model else None
+        return own if own and own.types else None
+
 
 def detect(df: DataFrame, options: Options = Options(), text: str = "text") -> DataFrame:
-    """Adds ``candidates``: all that the detectors find. They scan the normalised text; positions and values are the original's."""
+    """Adds ``candidates``: all that the detectors find. They scan the normalised text; positions and values are the original's.
+
+    With a model there is also ``model_failed``; its answers are kept in a checkpoint, so no text is asked twice.
+    """
     out = df.withColumn("_plain", normalise(F.col(text)))
-    found = candidates(F.col("_plain"), options.only, options.custom)
+    if options.asked:
+        out = cut(out.withColumn("_model", found(F.col("_plain"), options.asked)))
+    rows = candidates(F.col("_plain"), options.only, options.custom)
     kinds = tuple(k for k in ("KISI", "ADRES") if options.wanted(k))
     if kinds:
         out = out.withColumn("_context", contextual(F.col("_plain"), kinds, options.first_names, options.dictionary))
-        found = F.concat(found, F.coalesce("_context", F.array().cast(CANDIDATE)))
-    out = to_original(out.withColumn("candidates", found), text, "candidates")
+        rows = F.concat(rows, F.coalesce("_context", F.array().cast(CANDIDATE)))
+    if options.asked:
+        rows = F.concat(rows, as_candidates(F.col("_model.spans"), F.col("_plain")))
+    out = to_original(out.withColumn("candidates", rows), text, "candidates")
     kept = not_excluded(F.col("candidates"), F.col(text))
     if options.preserve_legal_facts:
         kept = F.filter(kept, lambda c: ~dropped(F.col(text), c))
-    return out.withColumn("candidates", kept).drop("_plain", "_context")
+    if options.asked:
+        plates = matches(F.col("_plain"), PLATE)
+        kept = F.filter(kept, lambda c: (c["rule_id"] != MODEL_RULE) | ~mistake(F.col(text), c["start"], c["end"], c["entity_type"], plates))
+        out = out.withColumn("model_failed", F.col("_model.failed"))
+    return out.withColumn("candidates", kept).drop("_plain", "_context", "_model")
 
 
 def resolve(df: DataFrame, options: Options = Options(), text: str = "text") -> DataFrame:
     """Adds ``spans``: disjoint candidates under the policy, by start."""
-    return with_resolved(detect(df, options, text), "candidates", policy(options.policy)).withColumnRenamed("candidates", "spans")
+    out, p = detect(df, options, text), policy(options.policy)
+    out = with_covered(out, "candidates", p, text) if options.asked else with_resolved(out, "candidates", p)
+    return out.withColumnRenamed("candidates", "spans")
 
 
 def replaced(text: Column, spans: Column, replacement) -> Column:
@@ -68,34 +90,53 @@ def replaced(text: Column, spans: Column, replacement) -> Column:
     return F.aggregate(spans, zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
 
 
-def tagged(df: DataFrame) -> DataFrame:
-    """Adds ``index`` to each span: distinct canonical values are numbered by type in order of appearance."""
+def tagged(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``index`` to each span: distinct canonical values are numbered by type in order of appearance.
+
+    Numbers whose token stands in the text already are left out, so unmasking cannot touch that text.
+    """
+    df = df.withColumn("_taken", F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[[^\[\]]+_[1-9][0-9]{0,8}\]"), F.lit(0))))
     first = lambda c: F.filter("spans", lambda o: (o["entity_type"] == c["entity_type"]) & (o["start"] <= c["start"]))
     own = lambda c: F.filter("spans", lambda o: (o["entity_type"] == c["entity_type"]) & (o["canonical"] == c["canonical"]))[0]
     count = lambda c: F.size(F.array_distinct(F.transform(first(own(c)), lambda o: o["canonical"])))
-    return df.withColumn("spans", F.transform("spans", lambda c: c.withField("index", count(c))))
+
+    def free(c: Column) -> Column:
+        mine = F.filter("_taken", lambda t: F.regexp_extract(t, r"^\[(.+)_[0-9]+\]$", 1) == c["entity_type"])
+        numbers = F.array_sort(F.transform(mine, lambda t: F.regexp_extract(t, r"_([0-9]+)\]$", 1).cast("int")))
+        return F.aggregate(numbers, count(c), lambda n, x: F.when(x <= n, n + 1).otherwise(n))
+
+    index = lambda c: F.when(F.size("_taken") > 0, free(c)).otherwise(count(c))
+    return df.withColumn("spans", F.transform("spans", lambda c: c.withField("index", index(c)))).drop("_taken")
 
 
 def redact(df: DataFrame, options: Options = Options(), text: str = "text") -> DataFrame:
-    """Adds ``redacted``, ``spans``, ``n_redacted``, ``risk`` and ``warnings`` (one per invalid span kept)."""
+    """Adds ``redacted``, ``spans``, ``n_redacted``, ``risk`` and ``n_warnings`` (one per invalid span kept).
+
+    With a model also ``model_failed`` and ``needs_review``: its suggestions raise the risk to medium, its failure to high.
+    """
     out = resolve(df, options, text)
     if options.strategy == "tag":
-        out = tagged(out)
+        out = tagged(out, text)
         by = lambda c: masks.token(None, c["entity_type"], c["index"])
     else:
         by = {"label": lambda c: masks.label(c["entity_type"]), "asterisk": lambda c: masks.asterisk(c["value"]), "partial": lambda c: masks.partial(c["value"], c["entity_type"])}[options.strategy]
     invalid = F.filter("spans", lambda c: c["status"] == "invalid")
+    risk = F.when(F.size(invalid) > 0, "medium").otherwise("low")
+    if options.asked:
+        suggested = F.exists("spans", lambda c: c["rule_id"] == MODEL_RULE)
+        risk = F.when(F.col("model_failed"), "high").when(suggested, "medium").otherwise(risk)
+        out = out.withColumn("needs_review", F.col("model_failed") | F.coalesce(suggested, F.lit(False)))
     return out.select(
         "*", replaced(F.col(text), F.col("spans"), by).alias("redacted"), F.size("spans").cast("long").alias("n_redacted"),
-        F.when(F.size(invalid) > 0, "medium").otherwise("low").alias("risk"), F.size(invalid).cast("long").alias("n_warnings"),
+        risk.alias("risk"), F.size(invalid).cast("long").alias("n_warnings"),
     )
 
 
 def token_map(redacted: DataFrame, key: str) -> DataFrame:
     """The sensitive table of a tag redaction: key, token, original (first spelling) and type."""
-    rows = redacted.select(key, F.explode("spans").alias("s"))
-    token = masks.token(None, F.col("s.entity_type"), F.col("s.index"))
-    return rows.groupBy(key, token.alias("token"), F.col("s.entity_type").alias("entity_type")).agg(F.min_by("s.value", "s.start").alias("original"))
+    rows = redacted.select(key, F.explode("spans").alias("_span"))
+    token = masks.token(None, F.col("_span.entity_type"), F.col("_span.index"))
+    return rows.groupBy(key, token.alias("token"), F.col("_span.entity_type").alias("entity_type")).agg(F.min_by("_span.value", "_span.start").alias("original"))
 
 
 def unmask(redacted: DataFrame, tokens: DataFrame, key: str) -> DataFrame:

@@ -5,23 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import DELETED, normalise, spans
-from ..operators.detect import PLATE, PLATE_BODY
-from ..operators.false_positives import legal_fact
+from ..functions.text import normalise, spans
+from ..operators.detect import PLATE
+from ..operators.false_positives import legal_fact, mistake
 from .redaction import replaced
 
-# An imperative that looks like a name, and the words before it.
-IDIOM = r"(?iu)^h[aâ]le\s+get[iİı]r(?:[iİı]n(?:[iİı]z)?)?$"
-MODIFIER = r"(?iu)(?:^|\s)(?:sağlam|hukuki|uygun|anlaşılır|okunabilir|tutarlı|güçlü|güvenli|hazır|sade|net|düzenli|iyi|bu|aynı)\s+$"
-
-
 def _mistake(source: Column, c: Column, kind: Column, plates: Column, legal: bool) -> Column:
-    value = F.substring(source, c["start"] + 1, c["end"] - c["start"])
-    before = F.substring(source, F.greatest(c["start"] - 39, F.lit(1)), F.least(c["start"], F.lit(40)))
-    wrong = (kind == "KISI") & value.rlike(IDIOM) & before.rlike(MODIFIER)
-    known = F.exists(plates, lambda p: (p["start"] == c["start"]) & (p["end"] == c["end"]))
-    even = ~source.rlike(f"[{DELETED}]|\r\n")  # elsewhere positions may differ, and the span stays
-    wrong = wrong | ((kind == "PLAKA") & even & normalise(value).rlike(f"^{PLATE_BODY}$") & ~known)
+    wrong = mistake(source, c["start"], c["end"], kind, plates)
     if legal:
         wrong = wrong | legal_fact(source, c["start"], c["end"], kind)
     return F.coalesce(wrong, F.lit(False))

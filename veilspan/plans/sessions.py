@@ -23,8 +23,8 @@ def new_session() -> str:
 def parse_token(token: Column) -> Column:
     """struct<session, entity_type, index>; null for what is no token, a null session for the legacy form."""
     whole = f"^{TOKEN}$"
-    one = F.struct(F.regexp_extract(token, whole, 1).alias("session"), F.regexp_extract(token, whole, 2).alias("entity_type"), F.regexp_extract(token, whole, 3).cast("long").alias("index"))
-    old = F.struct(F.lit(None).cast("string").alias("session"), F.regexp_extract(token, LEGACY, 1).alias("entity_type"), F.regexp_extract(token, LEGACY, 2).cast("long").alias("index"))
+    one = F.struct(F.regexp_extract(token, whole, 1).alias("session"), F.regexp_extract(token, whole, 2).alias("entity_type"), F.regexp_extract(token, whole, 3).try_cast("long").alias("index"))
+    old = F.struct(F.lit(None).cast("string").alias("session"), F.regexp_extract(token, LEGACY, 1).alias("entity_type"), F.regexp_extract(token, LEGACY, 2).try_cast("long").alias("index"))
     return F.when(token.rlike(whole), one).when(token.rlike(LEGACY), old)
 
 
@@ -44,25 +44,42 @@ def numbered(keys: DataFrame, groups: list[str], order: str) -> DataFrame:
     return rows.withColumn("index", F.col("_own") + F.col("_before")).drop("_at", "_part", "_own", "_before")
 
 
-def redact_sessions(df: DataFrame, key: str, session: str, seq: str, options: Options = Options(), text: str = "text") -> tuple[DataFrame, DataFrame]:
+def _floors(found: DataFrame, known: DataFrame | None, session: str, text: str) -> DataFrame:
+    """(session, entity_type, floor): new numbers start above those known and those whose token stands in a text of the session already."""
+    own = r"⟦RDT:[A-Za-z0-9]+:[^:⟦⟧]+:[0-9]{1,15}⟧"
+    held = found.where(F.col(text).contains("⟦RDT:")).select(session, F.explode(F.regexp_extract_all(text, F.lit(own), F.lit(0))).alias("_t"))
+    part = lambda i: F.split_part("_t", F.lit(":"), F.lit(i))
+    floors = held.where(part(2) == F.col(session)).select(session, part(3).alias("entity_type"), F.rtrim(part(4), F.lit("⟧")).cast("long").alias("index"))
+    if known is not None:
+        floors = floors.unionByName(known.select(session, "entity_type", "index"))
+    return floors.groupBy(session, "entity_type").agg(F.max("index").alias("_floor"))
+
+
+def redact_sessions(df: DataFrame, key: str, session: str, seq: str, options: Options = Options(), text: str = "text", known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents with ``redacted`` and ``spans``, token map): equal canonical values of a session share a token.
 
+    ``known`` is the token map of earlier calls: its values keep their tokens, and the map returned holds new ones only.
+
     ``key`` is unique; values are numbered by session and type in order of (``seq``, ``key``, position). The map
-    (session, token, entity_type, canonical, original) holds the first spelling and is sensitive.
+    (session, token, entity_type, canonical, original, index) holds the first spelling and is sensitive.
     """
     found = cut(resolve(df, options, text))
-    rows = found.select(key, session, seq, F.explode("spans").alias("s"))
+    rows = found.select(key, session, seq, F.explode("spans").alias("_span"))
     ident = [session, "entity_type", "canonical"]
-    seen = rows.select(session, F.struct(F.col(seq).alias("seq"), F.col(key).alias("key"), F.col("s.start").alias("start")).alias("first"), F.col("s.entity_type").alias("entity_type"), F.col("s.canonical").alias("canonical"), F.col("s.value").alias("value"))
+    seen = rows.select(session, F.struct(F.col(seq).alias("seq"), F.col(key).alias("key"), F.col("_span.start").alias("start")).alias("first"), F.col("_span.entity_type").alias("entity_type"), F.col("_span.canonical").alias("canonical"), F.col("_span.value").alias("value"))
     keys = seen.groupBy(*ident).agg(F.min("first").alias("first"), F.min_by("value", "first").alias("original"))
-    keys = cut(numbered(keys, [session, "entity_type"], "first").drop("first"))
-    marked = rows.select(key, session, F.col("s.entity_type").alias("entity_type"), F.col("s.canonical").alias("canonical"), F.col("s.start").alias("start")).join(keys.drop("original"), ident)
+    if known is not None:
+        keys = keys.join(known.select(*ident), ident, "left_anti")
+    keys = numbered(keys, [session, "entity_type"], "first").drop("first").join(_floors(found, known, session, text), [session, "entity_type"], "left")
+    keys = cut(keys.withColumn("index", F.col("index") + F.coalesce("_floor", F.lit(0))).drop("_floor"))
+    every = keys if known is None else keys.unionByName(known.select(*keys.columns))
+    marked = rows.select(key, session, F.col("_span.entity_type").alias("entity_type"), F.col("_span.canonical").alias("canonical"), F.col("_span.start").alias("start")).join(every.drop("original"), ident)
     by_doc = marked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "index"))).alias("_index"))
     out = found.join(by_doc, key, "left")
     out = out.withColumn("spans", F.zip_with("spans", F.coalesce("_index", F.array()), lambda c, i: c.withField("index", i["index"]))).drop("_index")
     token = lambda c: masks.token(F.col(session), c["entity_type"], c["index"])
     out = out.withColumn("redacted", replaced(F.col(text), F.col("spans"), token)).withColumn("n_redacted", F.size("spans").cast("long"))
-    tokens = keys.select(session, masks.token(F.col(session), F.col("entity_type"), F.col("index")).alias("token"), "entity_type", "canonical", "original")
+    tokens = keys.select(session, masks.token(F.col(session), F.col("entity_type"), F.col("index")).alias("token"), "entity_type", "canonical", "original", "index")
     return out, tokens
 
 
