@@ -12,10 +12,10 @@ def plain(text):
 
 
 def test_numbers_start_above_tokens_in_the_text(spark):
-    rows = [(1, "a1", "⟦RDT:a1:EPOSTA:7⟧ ⟦RDT:b2:EPOSTA:9⟧ ⟦RDT:a1:EPOSTA:99999999999999999999⟧ x@y.com"), (2, "a1", "z@y.com x@y.com"), (3, "b2", "x@y.com"), (4, "b2", None)]
+    rows = [(1, "a1", "⟦RDT:a1:EPOSTA:7⟧ ⟦RDT:b2:EPOSTA:9⟧ ⟦RDT:a1:EPOSTA:99999999999999999999⟧ x@y.com"), (2, "a1", "z@y.com x@y.com"), (3, "b2", "x@y.com"), (4, "b2", None), (5, None, "x@y.com")]
     out, _ = redact_sessions(spark.createDataFrame(rows, SCHEMA), "id", "s", "id", Options(only=("EPOSTA",)))
     got = {r["id"]: r["redacted"] and plain(r["redacted"]) for r in out.collect()}
-    assert got[1].endswith("> <a1:EPOSTA:8>") and got[2] == "<a1:EPOSTA:9> <a1:EPOSTA:8>" and got[3] == "<b2:EPOSTA:1>" and got[4] is None
+    assert got[1].endswith("> <a1:EPOSTA:8>") and got[2] == "<a1:EPOSTA:9> <a1:EPOSTA:8>" and got[3] == "<b2:EPOSTA:1>" and got[4] is None and got[5] == "[EPOSTA]"
     assert spark.range(1).select(parse_token(F.lit("[A_99999999999999999999]")).alias("t")).first()["t"]["index"] is None
 
 

@@ -62,9 +62,10 @@ def redact_sessions(df: DataFrame, key: str, session: str, seq: str, options: Op
 
     ``key`` is unique; values are numbered by session and type in order of (``seq``, ``key``, position). The map
     (session, token, entity_type, canonical, original, index) holds the first spelling and is sensitive.
+    A row whose session is null gets labels instead of tokens.
     """
     found = cut(resolve(df, options, text))
-    rows = found.select(key, session, seq, F.explode("spans").alias("_span"))
+    rows = found.where(F.col(session).isNotNull()).select(key, session, seq, F.explode("spans").alias("_span"))
     ident = [session, "entity_type", "canonical"]
     seen = rows.select(session, F.struct(F.col(seq).alias("seq"), F.col(key).alias("key"), F.col("_span.start").alias("start")).alias("first"), F.col("_span.entity_type").alias("entity_type"), F.col("_span.canonical").alias("canonical"), F.col("_span.value").alias("value"))
     keys = seen.groupBy(*ident).agg(F.min("first").alias("first"), F.min_by("value", "first").alias("original"))
@@ -77,7 +78,7 @@ def redact_sessions(df: DataFrame, key: str, session: str, seq: str, options: Op
     by_doc = marked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "index"))).alias("_index"))
     out = found.join(by_doc, key, "left")
     out = out.withColumn("spans", F.zip_with("spans", F.coalesce("_index", F.array()), lambda c, i: c.withField("index", i["index"]))).drop("_index")
-    token = lambda c: masks.token(F.col(session), c["entity_type"], c["index"])
+    token = lambda c: F.coalesce(masks.token(F.col(session), c["entity_type"], c["index"]), masks.label(c["entity_type"]))
     out = out.withColumn("redacted", replaced(F.col(text), F.col("spans"), token)).withColumn("n_redacted", F.size("spans").cast("long"))
     tokens = keys.select(session, masks.token(F.col(session), F.col("entity_type"), F.col("index")).alias("token"), "entity_type", "canonical", "original", "index")
     return out, tokens
