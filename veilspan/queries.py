@@ -10,6 +10,7 @@ from .functions.identity import scrub_identity
 from .functions.text import byte_offset, html_escape, normalise
 from .operators.detect import Custom, candidates
 from .operators.false_positives import legal_fact
+from .operators.model_detector import Model
 from .operators.resolve import POLICIES
 from .operators.validate import REVIEW_WORDS, review_word, validate
 from .plans.redaction import Options, detect, redact, report_summary, resolve, token_map, unmask
@@ -199,9 +200,27 @@ def identity_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scrub_identity(rows)
 
 
+def _stand_in(request: dict) -> dict:
+    """In place of a model: knows one illness."""
+    return {"entities": [{"type": "SAGLIK", "text": "şeker hastası", "occurrence": 1}] if "şeker hastası" in request["text"] else []}
+
+
+def model_and_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of a model, here a stand-in, and of the rules, resolved together."""
+    text = F.concat(F.lit("Hasta "), F.col("o_orderkey").cast("string"), F.lit(" şeker hastası, k"), F.col("o_orderkey").cast("string"), F.lit("@example.com"))
+    options = Options(only=("EPOSTA", "SAGLIK"), model=Model(_stand_in, ("SAGLIK",)))
+    return redact(_orders(spark, sf_dir).select("o_orderkey", text.alias("text")), options).select("o_orderkey", "redacted", "risk", "needs_review", "model_failed")
+
+
+def token_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers whose token stands in the text already are left out."""
+    text = F.concat(F.lit("[EPOSTA_"), (F.col("o_orderkey") % 3 + 1).cast("string"), F.lit("] a@example.com b@example.com"))
+    return redact(_orders(spark, sf_dir).select("o_orderkey", text.alias("text")), Options(strategy="tag", only=("EPOSTA",))).select("o_orderkey", "redacted")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (redact_label, redact_asterisk, redact_all, redact_partial, redact_pages, detect_spans, counts_by_type, cards_luhn, policy_comparison, tokens, unmask_round_trip, summary, normalised, escaped, tckn_check, vkn_check, iban_check, luhn_check, partial_masks, canonical_phones, redact_sentences, redact_original_positions, residual_check, review_words, session_tokens, session_round_trip, legal_facts, identity_statements)
+    for f in (redact_label, redact_asterisk, redact_all, redact_partial, redact_pages, detect_spans, counts_by_type, cards_luhn, policy_comparison, tokens, unmask_round_trip, summary, normalised, escaped, tckn_check, vkn_check, iban_check, luhn_check, partial_masks, canonical_phones, redact_sentences, redact_original_positions, residual_check, review_words, session_tokens, session_round_trip, legal_facts, identity_statements, model_and_rules, token_collisions)
 }
 
 _EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
@@ -234,5 +253,7 @@ c as (select session, left(v, position('@' in v)) || lower(substr(v, position('@
 select session, '⟦RDT:' || session || ':EPOSTA:' || row_number() over (partition by session order by first) || '⟧' as token, original from c""",
     "session_round_trip": "select doc_id, lower(coalesce(text, '')) as unmasked, false as unsafe from documents",
     "legal_facts": "select o_orderkey, label, label = 'Tebliğ: ' as fact from orders, (select unnest(['Tebliğ: ', 'DOĞUM TARİHİ: ', 'D.T.: ']) as label)",
+    "model_and_rules": "select o_orderkey, 'Hasta ' || o_orderkey || ' [SAGLIK], [EPOSTA]' as redacted, 'medium' as risk, true as needs_review, false as model_failed from orders",
+    "token_collisions": "select o_orderkey, '[EPOSTA_' || (o_orderkey % 3 + 1) || '] [EPOSTA_' || (case when o_orderkey % 3 = 0 then 2 else 1 end) || '] [EPOSTA_' || (case when o_orderkey % 3 = 2 then 2 else 3 end) || ']' as redacted from orders",
     "identity_statements": "select o_orderkey, 'Sipariş ' || o_orderkey || '. [ASİSTAN]. Tamam.' as text, 1::bigint as n_replaced from orders",
 }
