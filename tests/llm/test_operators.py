@@ -282,6 +282,33 @@ def test_compression_rules(docs):
     assert not any(r["kept"] and r["base_failed"] for r in got)
 
 
+def test_compression_bands_reject_planted_texts():
+    import pyarrow.parquet as pq
+    import zstandard
+
+    r = Random(6)
+    z, bands = zstandard.ZstdCompressor(level=3, write_content_size=False), compression_rules.Bands()
+    measure = lambda t: compression_rules.measure(t, bands, z)
+    printable, base64 = "".join(map(chr, range(33, 127))), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    drawn = lambda n, letters: "".join(" " if r.random() < 0.12 else r.choice(letters) for _ in range(n)).encode()
+    for n in (180, 300, 600, 2000, 4095, 4096, 5000, 8191, 20_000):
+        for letters in (printable, base64):
+            m = measure(drawn(n, letters))
+            assert not m[5] and not m[9] and m[8] == m[7] >= 1
+    for n in (20, 60, 200, 1000, 5000):  # few words in ever new order: no five-word window repeats often
+        m = measure(" ".join(r.choice([f"banner{k}" for k in range(12)]) for _ in range(n)).encode())
+        assert not m[5] and not m[9], n
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).to_pydict()
+    texts = dict(zip(docs["doc_id"], docs["text"], strict=True))
+    labels = pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pydict()
+    passed = [(q, measure((texts[d] or "").encode())) for d, q in zip(labels["doc_id"], labels["quality"], strict=True)]
+    kept = {q: [m[9] for x, m in passed if x == q and not m[5]] for q in (0, 1)}
+    assert np.mean(kept[1]) > 0.95 and np.mean(kept[0]) < 0.5
+    prose = next(t.encode() for t in docs["text"] if t and len(t.encode()) > 9000 and measure(t.encode())[9])
+    m = measure(prose[:8192] + drawn(4000, base64))  # random text in the part past the last whole chunk
+    assert m[7] == 3 and m[8] >= 1 and not m[9]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
