@@ -259,6 +259,35 @@ def test_near_duplicates(docs):
     same(simhash.near_duplicates(docs).collect(), expected)
 
 
+def test_near_copies_at_jaccard(spark, docs, monkeypatch):
+    def expected(table):
+        cut = [(t or "").lower().split() for _, t in table]
+        sets = [set(zip(*(w[i:] for i in range(min(5, len(w)))), strict=False)) for w in cut]
+        root = list(range(len(sets)))
+        for _ in root:
+            for a in range(len(sets)):
+                for b in range(a):
+                    if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                        root[a] = root[b] = min(root[a], root[b])
+        return sorted({min(d for (d, _), r in zip(table, root, strict=True) if r == k) for k in set(root)})
+
+    r = Random(8)
+    base = [[f"w{r.randint(0, 5000)}" for _ in range(300)] for _ in range(6)]
+    table = []
+    for i in range(90):  # copies with some words replaced: similarities on both sides of 0.8
+        w = list(r.choice(base))
+        for k in r.sample(range(300), r.randint(0, 14)):
+            w[k] = f"u{r.randint(0, 10**6)}"
+        table.append((i, " ".join(w)))
+    table += [(90, None), (91, ""), (92, "One"), (93, "one"), (94, "two three")]
+    copies = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    ids = lambda d, s: sorted(x["doc_id"] for x in simhash.drop_near_duplicates(d, s).collect())
+    assert ids(copies, 0.8) == expected(table) and len(ids(copies, None)) > len(expected(table))
+    monkeypatch.setattr("veilspan.llm.near_copies.TILE_SHINGLES", 2000)  # many pairs of tiles
+    assert ids(copies, 0.8) == expected(table)
+    assert simhash.drop_near_duplicates(docs.where("false"), 0.8).count() == 0
+
+
 def test_bit_sliced_groups(monkeypatch):
     r = np.random.default_rng(1)
     f = np.unique(r.integers(0, 1 << 63, 12, dtype=np.uint64)[r.integers(0, 12, 600)] ^ (np.uint64(1) << r.integers(0, 64, 600, dtype=np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 600, dtype=np.uint64)))

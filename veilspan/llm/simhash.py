@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import map_slices, stash, table
 from .components import components
 
@@ -191,10 +192,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(member, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Keeps of each group the row with the smallest id (one of them, should the id repeat)."""
-    groups = near_duplicates(docs)
-    keep = groups.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+def drop_near_duplicates(docs: DataFrame, similarity: float | None = None) -> DataFrame:
+    """Keeps of each group the row with the smallest id (one of them, should the id repeat).
+
+    Without ``similarity`` the groups are those of ``near_duplicates``, which misses most near copies that are
+    not equal in their shingles; with it, those of ``near_copies``: five-word shingles at that Jaccard similarity.
+    """
+    if similarity is None:
+        groups = near_duplicates(docs).withColumnRenamed("component_id", "group")
+    else:
+        groups = near_copies.groups(docs, similarity)
+    keep = groups.groupBy("group").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
 
 
