@@ -173,6 +173,26 @@ def test_decontamination(spark, docs):
     assert got == expected and expected
 
 
+def test_passages_at_the_threshold_are_found():
+    r = Random(9)
+    items = [" ".join(f"w{r.randint(0, 5000)}" for _ in range(30)) for _ in range(40)]
+    index, known = decontaminate.Index(list(enumerate(items))), decontaminate.WordHashes()
+    cut = lambda t: decontaminate.shingles(decontaminate.word_hashes(t, known)).tolist()
+    far = 0
+    for i, t in enumerate(items * 5):
+        w = t.split()
+        for k in r.choice([(0,), (29,), (1,), (0, 29), (4,), (0, 1, 28, 29), (0, 28), (12,)]):
+            w[k] = f"x{r.randint(0, 10**6)}"
+        text = " ".join([*(f"y{r.randint(0, 10**6)}" for _ in range(50)), *w, *(f"z{r.randint(0, 10**6)}" for _ in range(50))])
+        g, own = cut(text), Counter(cut(t))
+        shares = [sum((Counter(g[k : k + 26]) & own).values()) / 26 for k in range(len(g) - 25)]
+        expected = {i % 40: (max(shares), shares.index(max(shares)))} if max(shares) >= 0.8 else {}
+        assert index.search(len(g) + 4, np.array(g, np.uint64), 0.8) == expected
+        best = decontaminate.packed(decontaminate.bits(np.array(g[(k := shares.index(max(shares))) : k + 26], np.uint64)).sum(0, keepdims=True, dtype=np.int64) * 2 > 26)
+        far += bool(expected) and int(np.bitwise_count(best ^ index.prints[i % 40])[0]) > decontaminate.RADIUS
+    assert far  # some lie beyond the radius
+
+
 def test_hamming_blocks_miss_nothing():
     r = np.random.default_rng(3)
     index = decontaminate.Index([(i, " ".join(f"w{r.integers(500)}" for _ in range(20))) for i in range(80)])

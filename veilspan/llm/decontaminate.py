@@ -4,9 +4,11 @@ Words are runs of letters and digits, lower-cased. For every benchmark item of L
 every document get a SimHash over their five-word shingles, by prefix sums of the shingles' bits. The 64 bits
 are cut into four blocks of 16; a fingerprint within RADIUS = 15 of an item's agrees with it in one block up to
 3 bits, and each block table lists every item under all values within 3 bits of its own, so the lookup
-misses no fingerprint within the radius. Candidates are verified exactly: the share of the item's shingles,
-counted with repeats, that the window has must reach ``threshold`` (0.8). Windows that share no shingle
-with any item cannot reach it and are passed over before fingerprints are taken.
+misses no fingerprint within the radius. A window at the threshold may lie beyond the radius, so windows with
+enough positions whose shingle the item has are candidates too, whatever their fingerprint; no window that
+reaches the threshold has fewer. Candidates are verified exactly: the share of the item's shingles, counted with
+repeats, that the window has must reach ``threshold`` (0.8). Windows that share no shingle with any item cannot
+reach it and are passed over before fingerprints are taken.
 
 The benchmark is a query set: it is taken in blocks of ITEMS items, each scanned against all documents and
 broadcast alone, so what is broadcast is bounded. Long documents are taken in overlapping stretches. Edge
@@ -97,6 +99,12 @@ class Index:
         self.totals = [len(g) for g in grams]
         self.prints = np.array([packed(bits(g).sum(0, keepdims=True, dtype=np.int64) * 2 > len(g))[0] for g in grams], np.uint64)
         self.all = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
+        # the items of each shingle of ``all``
+        own = [np.unique(g) for g in grams]
+        of = np.repeat(np.arange(len(own)), [len(g) for g in own])
+        place = np.searchsorted(self.all, np.concatenate(own)) if own else np.zeros(0, np.int64)
+        self.holders = of[np.argsort(place, kind="stable")]
+        self.holder_starts = np.r_[0, np.cumsum(np.bincount(place, minlength=len(self.all)))]
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.all >> np.uint64(44)).astype(np.int64)] = True
         masks = flips(BLOCK_BITS, RADIUS // 4)
@@ -132,6 +140,34 @@ class Index:
         pairs = np.unique(w[keep] * len(self.ids) + i[keep])
         return pairs // max(1, len(self.ids)), pairs % max(1, len(self.ids))
 
+    def full(self, h: np.ndarray, at: np.ndarray, n_words: int, threshold: float) -> dict[int, np.ndarray]:
+        """By item: starts of the windows with at least ``threshold`` of its shingles' number of positions that it has.
+
+        ``at`` are the hits among the shingles ``h``; a window's shared shingles are never more than those positions.
+        """
+        place = np.searchsorted(self.all, h[at])
+        n = self.holder_starts[place + 1] - self.holder_starts[place]
+        item = self.holders[np.repeat(self.holder_starts[place] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))]
+        order = np.argsort(item, kind="stable")
+        item, where = item[order], np.repeat(at, n)[order]
+        ends = np.r_[np.flatnonzero(item[1:] != item[:-1]) + 1, len(item)]
+        out, lo = {}, 0
+        for hi in ends.tolist():
+            i, p = int(item[lo]), where[lo:hi]
+            lo = hi
+            need = max(1, int(np.ceil(threshold * self.totals[i] - 1e-9)))
+            size = max(1, min(int(self.lengths[i]), n_words) - WIDTH + 1)
+            if len(p) < need or len(h) < size:
+                continue
+            first = np.maximum(p[need - 1 :] - size + 1, 0)  # windows from here to p hold ``need`` hits from p on
+            last = np.minimum(p[: len(p) - need + 1], len(h) - size)
+            span = last - first + 1
+            ok = span > 0
+            if ok.any():
+                first, span = first[ok], span[ok]
+                out[i] = np.unique(np.repeat(first - np.r_[0, np.cumsum(span)[:-1]], span) + np.arange(int(span.sum())))
+        return out
+
     def search(self, n_words: int, h: np.ndarray, threshold: float) -> dict[int, tuple[float, int]]:
         """Best (similarity, start) by item over the windows of a text with shingles ``h``."""
         best: dict[int, tuple[float, int]] = {}
@@ -141,6 +177,20 @@ class Index:
             at = self.hits(part)
             if not len(at):
                 continue
+            checked = set()
+
+            def verify(item: int, start: int, size: int, part=part, base=base, checked=checked) -> None:
+                if (item, start) in checked:
+                    return
+                checked.add((item, start))
+                window = Counter(part[start : start + size].tolist())
+                found = sum(min(n, window[g]) for g, n in self.bags[item].items()) / self.totals[item]
+                if found >= threshold and (-found, start + base) < (-best.get(item, (0, 0))[0], best.get(item, (0, 0))[1]):
+                    best[item] = (found, start + base)
+
+            for item, wanted in self.full(part, at, n_words, threshold).items():
+                for start in wanted.tolist():
+                    verify(item, start, max(1, min(int(self.lengths[item]), n_words) - WIDTH + 1))
             lo, hi = max(0, int(at[0]) - longest), min(len(part), int(at[-1]) + longest)
             sums = np.zeros((hi - lo + 1, 64), np.int32)
             np.cumsum(bits(np.ascontiguousarray(part[lo:hi])), axis=0, dtype=np.int32, out=sums[1:])
@@ -158,11 +208,7 @@ class Index:
                     s = starts[i : i + (1 << 14)]
                     prints = packed((sums[s + size - lo] - sums[s - lo]) * 2 > size)
                     for w, item in zip(*self.close(prints, int(length)), strict=True):
-                        bag, start = self.bags[item], int(s[w])
-                        window = Counter(part[start : start + size].tolist())
-                        found = sum(min(n, window[g]) for g, n in bag.items()) / self.totals[item]
-                        if found >= threshold and (-found, start + base) < (-best.get(item, (0, 0))[0], best.get(item, (0, 0))[1]):
-                            best[item] = (found, start + base)
+                        verify(int(item), int(s[w]), size)
         return best
 
 
