@@ -308,6 +308,22 @@ def test_near_copies_at_jaccard(spark, docs, monkeypatch):
     assert simhash.drop_near_duplicates(docs.where("false"), 0.8).count() == 0
 
 
+def test_rows_are_told_by_id_and_text(spark):
+    r = Random(11)
+    texts = [" ".join(f"w{r.randint(0, 10**6)}" for _ in range(60)) for _ in range(6)]
+    table = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (8, texts[3]), (None, texts[4]), (9, texts[4]), (None, None), (None, "")]
+    df = spark.createDataFrame([(d, t, "en") for d, t in table], "doc_id long, text string, lang string").repartition(2)
+    expected = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4])]
+    for similarity in (None, 0.8):
+        got = [(x["doc_id"], x["text"]) for x in simhash.drop_near_duplicates(df, similarity).collect()]
+        same([x for x in got if x[1]], expected)
+        assert len(got) == 6  # one of the two wordless rows
+    bench = spark.createDataFrame([(1, " ".join(texts[1].split()[10:40])), (2, " ".join(texts[2].split()[10:40]))], "item_id long, text string")
+    clean = decontaminate.drop_contaminated(df, bench)
+    assert clean.columns == df.columns
+    same([(x["doc_id"], x["text"]) for x in clean.collect()], [x for x in table if x[1] not in texts[1:3]])
+
+
 def test_bit_sliced_groups(monkeypatch):
     r = np.random.default_rng(1)
     f = np.unique(r.integers(0, 1 << 63, 12, dtype=np.uint64)[r.integers(0, 12, 600)] ^ (np.uint64(1) << r.integers(0, 64, 600, dtype=np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 600, dtype=np.uint64)))

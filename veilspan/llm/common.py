@@ -97,6 +97,11 @@ def crc32_of_id(col: Column) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
 
 
+def text_hash() -> Column:
+    """Tells texts apart, whatever their ids; a null text counts as empty."""
+    return F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+
+
 def ranked(df: DataFrame, order: list[Column], weight: str | None, name: str) -> tuple[DataFrame, int, int]:
     """Adds rank (rows before, from 0) and before (weight before) in a total order, without a global task.
 

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_slices, table
+from .common import map_slices, table, text_hash
 
 WIDTH = 5
 RADIUS = 15
@@ -217,8 +217,8 @@ def index_of(items: tuple) -> Index:
     return Index(list(items))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """SCHEMA: every (document, item) whose best window reaches ``threshold``."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", key_type: str = "long") -> DataFrame:
+    """SCHEMA: every (document, item) whose best window reaches ``threshold``; ``key`` tells documents."""
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text").distinct()
     blocks = max(1, -(-items.count() // ITEMS))
@@ -230,13 +230,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         def run(batch: dict, held=held) -> dict:
             index, known = index_of(held.value), _KNOWN
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, text in zip(batch[key], batch["text"], strict=True):
                 words = word_hashes(text.decode(), known)
                 if len(words) and len(index.ids):
                     rows += [(doc_id, index.ids[j], start, sim) for j, (sim, start) in sorted(index.search(len(words), shingles(words), threshold).items())]
-            return dict(zip(("doc_id", "item_id", "start_word", "similarity"), zip(*rows, strict=True), strict=True)) if rows else None
+            return dict(zip((key, "item_id", "start_word", "similarity"), zip(*rows, strict=True), strict=True)) if rows else None
 
-        found = map_slices(docs.select("doc_id", "text"), run, SCHEMA)
+        found = map_slices(docs.select(key, "text"), run, SCHEMA.replace("doc_id long", f"{key} {key_type}"))
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -245,9 +245,10 @@ _KNOWN = WordHashes()
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose text holds no benchmark item; rows of one id stand or fall together."""
-    bad = contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    """The rows of ``docs`` whose text holds no benchmark item; the text alone decides, whatever the ids."""
+    keyed = docs.select(text_hash().alias("text_hash"), "text")
+    bad = contaminated(keyed, benchmark, threshold, "text_hash", "string").select(F.col("text_hash").alias("bad_hash")).distinct()
+    return docs.join(bad, text_hash() == F.col("bad_hash"), "left_anti")
 
 
 def op4_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, stash
+from .common import map_slices, stash, text_hash
 from .components import components
 from .decontaminate import WordHashes, shingles
 
@@ -52,11 +52,6 @@ def bands_of(grams: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def text_hash():
-    """Tells texts apart; a null text counts as empty."""
-    return F.sha2(F.coalesce("text", F.lit("")), 256)
-
-
 def similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Links that connect all pairs of ``sets`` at ``similarity`` or more."""
     n = len(sets)

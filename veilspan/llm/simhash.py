@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import map_slices, stash, table
+from .common import map_slices, stash, table, text_hash
 from .components import components
 
 RADIUS = 3
@@ -50,16 +50,16 @@ def fingerprint(text: bytes, hash64, width: int = 3) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (its 64 bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the carried strings and fingerprint (its 64 bits as a signed long) of every row."""
 
     def run(part: dict) -> dict:
         from xxhash import xxh64_intdigest
 
         f = np.fromiter((fingerprint(t, xxh64_intdigest) for t in part["text"]), np.uint64, len(part["text"]))
-        return {"doc_id": part["doc_id"], "fp": f.view(np.int64)}
+        return {c: part[c] for c in ("doc_id", *carry)} | {"fp": f.view(np.int64)}
 
-    return map_slices(docs.select("doc_id", "text"), run, "doc_id long, fp long")
+    return map_slices(docs.select("doc_id", *carry, "text"), run, "".join(f"{c} {t}, " for c, t in [("doc_id", "long"), *((c, "string") for c in carry)]) + "fp long")
 
 
 def planes_of(fps: np.ndarray, word: np.ndarray, lane: np.ndarray, n_words: int) -> np.ndarray:
@@ -181,29 +181,39 @@ def links(prints: DataFrame) -> DataFrame:
     return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
 
 
+def rooted(prints: DataFrame) -> DataFrame:
+    """fp, the smallest id that has it (least) and the root of its group, for every distinct fingerprint."""
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(least.select("fp")))
+    return least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     prints = stash(fingerprints(docs), "fingerprints")
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(least.select("fp")))
-    joined = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    joined = rooted(prints)
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     member = joined.join(ids, "root").select("fp", "component_id")
     return prints.join(member, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float | None = None) -> DataFrame:
-    """Keeps of each group the row with the smallest id (one of them, should the id repeat).
+    """Keeps one row of each group: of those with the smallest id (null only if all are) the least by text hash.
 
     Without ``similarity`` the groups are those of ``near_duplicates``, which misses most near copies that are
     not equal in their shingles; with it, those of ``near_copies``: five-word shingles at that Jaccard similarity.
+    Rows are told by id and text, so null and repeated ids of several groups do not stand for one another.
     """
     if similarity is None:
-        groups = near_duplicates(docs).withColumnRenamed("component_id", "group")
+        prints = stash(fingerprints(docs.select("doc_id", text_hash().alias("text_hash"), "text"), ("text_hash",)), "fingerprints")
+        groups = prints.join(rooted(prints).select("fp", F.col("root").alias("group")), "fp")
     else:
         groups = near_copies.groups(docs, similarity)
-    keep = groups.groupBy("group").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    keep = groups.groupBy("group").agg(first.alias("first")).select(F.col("first.doc_id").alias("keep_id"), F.col("first.text_hash").alias("keep_hash"))
+    rows = docs.withColumn("_text_hash", text_hash())
+    kept = rows.join(keep, F.col("_text_hash").eqNullSafe(F.col("keep_hash")) & rows["doc_id"].eqNullSafe(F.col("keep_id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
 
 
 def op9_simhash_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
