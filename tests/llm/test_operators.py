@@ -128,6 +128,20 @@ def test_pii(docs):
     assert sorted(r["text"] for r in pii_crf.redact_pii(docs).where("doc_id = 7").collect()) == ["é日本 🙂 <EMAIL> <PHONE>"]
 
 
+def test_spans_of_long_number_lists_lie_apart():
+    r = Random(12)
+    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    crf = pii_crf.trained()
+    for seps in (" ", ", ", " - "):
+        text = "".join(r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", d(10)]) + seps for _ in range(4000))
+        base, spans = pii_crf.all_spans(text, crf)
+        found = sorted(set(spans) - set(base))
+        assert len(spans) == len(set(spans)) and len(found) > 100
+        assert all(x[1] <= y[0] for x, y in zip(found, found[1:], strict=False))
+        marks = [x.tokens for x in pii_crf.stretches(text)]
+        assert all(x[-1][1] <= y[0][0] for x, y in zip(marks, marks[1:], strict=False))
+
+
 def test_semi_markov_sums_match_enumeration():
     """The gradient's expected counts against all segmentations of a short stretch."""
     x = pii_crf.stretches("call 555-123-4567 or 0049 30 1234567")[0]

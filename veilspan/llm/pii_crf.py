@@ -22,6 +22,7 @@ import random
 import re
 import zlib
 from bisect import bisect_left
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -100,8 +101,15 @@ class Stretch:
     """Tokens of a stretch and the segments that may carry a kind, with their features."""
 
     def __init__(self, text: str, tokens: list[tuple[int, int]]):
-        self.tokens = tokens
-        self.segments: list[tuple[int, int, np.ndarray]] = []  # token start, end (exclusive), feature hashes
+        self.text, self.tokens = text, tokens
+
+    @functools.cached_property
+    def segments(self) -> list[tuple[int, int, np.ndarray]]:
+        return list(self.each())
+
+    def each(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Token start, end (exclusive) and feature hashes of every segment, one at a time: a stretch may be long."""
+        text, tokens = self.text, self.tokens
         n = len(tokens)
         for i in range(n):
             a = tokens[i][0]
@@ -123,7 +131,7 @@ class Stretch:
                         continue
                 elif not (ATWORD.search(s) and DOTWORD.search(s)):
                     continue
-                self.segments.append((i, j, self.of(text, s, a, b, i, j)))
+                yield i, j, self.of(text, s, a, b, i, j)
 
     def of(self, text: str, s: str, a: int, b: int, i: int, j: int) -> np.ndarray:
         digits = "".join(c for c in s if c.isdigit())
@@ -144,19 +152,18 @@ class Stretch:
 
 
 def stretches(text: str) -> list[Stretch]:
-    """The stretches of tokens around triggers."""
+    """The stretches of tokens around triggers; they lie apart, however long one gets, so no segment crosses two."""
     if not (marks := [m.span() for m in TRIGGER.finditer(text)]):
         return []
     out, lo, hi = [], None, None
     reach = 24 * CONTEXT
     for a, b in marks:
         a0, b0 = max(0, a - reach), min(len(text), b + reach)
-        if hi is not None and a0 <= hi and hi - lo < 1 << 14:
+        if hi is not None and a0 <= hi:
             hi = max(hi, b0)
             continue
         if hi is not None:
             out.append((lo, hi))
-            a0 = max(a0, min(hi, a))
         lo, hi = a0, b0
     out.append((lo, hi))
     return [Stretch(text, [m.span() for m in TOKEN.finditer(text, a, b)]) for a, b in out]
@@ -166,13 +173,17 @@ class SemiCrf:
     def __init__(self):
         self.w = np.zeros((len(KINDS), WEIGHTS))
 
+    def score(self, features: np.ndarray) -> np.ndarray:
+        return self.w[:, features].sum(1)
+
     def scores(self, x: Stretch) -> list[np.ndarray]:
-        return [self.w[:, f].sum(1) for _, _, f in x.segments]
+        return [self.score(f) for _, _, f in x.segments]
 
     def best(self, x: Stretch) -> list[tuple[int, int, int]]:
         """(token start, token end, kind) of the best segmentation; outside tokens score zero."""
         n, ending = len(x.tokens), {}
-        for (i, j, _), s in zip(x.segments, self.scores(x), strict=True):
+        for i, j, f in x.each():
+            s = self.score(f)
             k = int(np.argmax(s))
             if s[k] > 0:
                 ending.setdefault(j, []).append((i, k, float(s[k])))
