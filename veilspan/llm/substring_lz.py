@@ -1,13 +1,13 @@
-"""Exact substring deduplication by relative Lempel-Ziv parsing against a content-addressed reference.
+"""Exact substring deduplication by counting windows under anchors, in place of a relative Lempel-Ziv parse.
 
 A word goes if some window of ``window`` consecutive words that covers it also starts anywhere else.
 
 The whole corpus is the reference. Every window is filed under an anchor, the smallest of its eight-word
 hashes, so equal windows have equal anchors wherever they stand; consecutive windows with one anchor form a
-phrase, and phrases are indexed in blocks by anchor. A document's parse is its run of phrases: a phrase that the
-reference holds a second time copies from it whole, and neighbouring copied phrases make up one factor.
-Where phrases of an anchor differ (factors end inside them), the windows of one phrase of each kind are
-compared one by one, so factor borders are exact. A factor is at least one window long and is removed.
+phrase, and phrases are indexed in blocks by anchor. No longest factors are sought: a
+phrase that the reference holds a second time is a copy whole, and where phrases of an anchor differ, the
+windows of one phrase of each kind are compared one by one, so borders are exact. Every window is covered,
+and what occurs twice is removed.
 
 Per word only a fifteenth of a row is shuffled: phrases whose anchor occurs once end there. Phrases are
 counted before the shuffle, and joins on hot anchors are split by adaptive execution. Hashes: 64 bits of
