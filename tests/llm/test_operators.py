@@ -90,16 +90,60 @@ def test_language_model(docs):
 
 
 def test_language_model_sums_to_one():
-    v = maxent_lm.Vocabulary([b"a", b"b", b"\n"], np.array([5, 3, 2]), 14, 6)
+    tail = {b"q": 2, b"r": 1, b"s": 1, b"longer": 3}
+    tokens, distinct = np.zeros(maxent_lm.TAIL, np.int64), np.zeros(maxent_lm.TAIL, np.int64)
+    for w, c in tail.items():
+        tokens[maxent_lm.tail_class(w)] += c
+        distinct[maxent_lm.tail_class(w)] += 1
+    head = {b"a": 50, b"b": 30, maxent_lm.END: 20}
+    v = maxent_lm.Vocabulary(list(head), np.array(list(head.values())), 107, 7, tokens, distinct)
     m = maxent_lm.Model(v)
-    rng = np.random.default_rng(0)
-    m.a += rng.normal(0, 1, m.a.shape).astype(np.float32)
-    m.b += rng.normal(0, 1, m.b.shape).astype(np.float32)
-    total = 0.0
-    for w, c in ((b"a", None), (b"b", None), (b"", None), (b"q", 2), (b"r", 1), (b"s", 1), (b"unseen", 0)):
-        p = 10 ** m.log10(maxent_lm.Tokens([b"b q " + w], v))[2]
-        total += p * (1 if c is None else (c + 1) / v.rest_total)
+    m.w = np.random.default_rng(0).normal(0, 1, m.w.shape).astype(np.float32)
+    logs = [m.log10(maxent_lm.Tokens([b"b q " + w], v))[2] for w in (b"a", b"b", b"")]
+    total = sum(10**x for x in logs)
+    ending = {maxent_lm.tail_class(bytes([a, b])): bytes([a, b]) for a in range(97, 123) for b in range(97, 123)}
+    assert len(ending) > maxent_lm.TAIL // 2
+    leaf = np.arange(3, 3 + maxent_lm.TAIL)  # all tail classes after the same history
+    t = maxent_lm.Tokens([b"b q a"], v)
+    for x in leaf:
+        t.leaf[2] = x
+        total += 10 ** m.log10(t)[2]
     assert abs(total - 1) < 1e-4
+    inside = sum((c + 1) / 10 ** v.tail_total[maxent_lm.tail_class(w)] for w, c in tail.items() if maxent_lm.tail_class(w) == maxent_lm.tail_class(b"q"))
+    assert abs(inside + 1 / 10 ** v.tail_total[maxent_lm.tail_class(b"q")] - 1) < 1e-9
+
+
+def test_language_model_grows_and_learns():
+    r = Random(3)
+    follows = {f"w{i}": [f"w{r.randrange(500)}" for _ in range(3)] for i in range(500)}
+    texts = []
+    for _ in range(300):
+        w = [f"w{r.randrange(500)}"]
+        while len(w) < 60:
+            w.append(r.choice(follows[w[-1]]))
+        texts.append(" ".join(w).encode())
+    c = Counter(x for t in texts for x in [*t.split(), maxent_lm.END])
+    none = np.zeros(maxent_lm.TAIL, np.int64)
+    v = maxent_lm.Vocabulary(list(c), np.array(list(c.values())), sum(c.values()), len(c), none, none)
+    m, train, held = maxent_lm.Model(v), maxent_lm.Tokens(texts[:250], v), maxent_lm.Tokens(texts[250:], v)
+    before = m.log10(held).mean()
+    state, seen = np.ones(m.w.shape, np.float32), np.zeros(v.rows, np.float32)
+    lo = maxent_lm.Tokens(texts[:2], v)
+    for _ in range(20):
+        m.learn(train, state, seen)
+    assert m.log10(held).mean() > before + 0.8
+    step = maxent_lm.Model(v)  # the gradient against differences of the likelihood
+    step.w = np.random.default_rng(5).normal(0, 0.3, step.w.shape).astype(np.float32)
+    _, _, rows, *_ = step.decisions(lo, 0, len(lo.leaf))
+    row, col = int(rows[0, 0]), 3
+    up, down, out = maxent_lm.Model(v), maxent_lm.Model(v), maxent_lm.Model(v)
+    for x, d in ((up, 1e-2), (down, -1e-2), (out, 0)):
+        x.w = step.w.copy()
+        x.w[row, col] += d
+    slope = (up.log10(lo).sum() - down.log10(lo).sum()) * np.log(10) / 2e-2
+    out.learn(lo, np.full(out.w.shape, 1e4, np.float32), np.zeros(v.rows, np.float32))  # a step of rate * gradient / 100
+    assert slope and abs((out.w[row, col] - step.w[row, col]) * 100 / maxent_lm.RATE - slope) < 1e-2
+    assert maxent_lm.Vocabulary(list(c), np.array(list(c.values())), 1 << 30, len(c), none, none).rows > v.rows
 
 
 def naive_pii(t):

@@ -18,8 +18,15 @@ SPACE = b" \t\n\x0b\x0c\r"
 SLICE_BYTES = 8 << 20
 
 
+#: A table in fewer files than cores and below this size a core is shared among them.
+SMALL = 32 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder; a small one in few files, whose scan would leave cores idle, is dealt to all of them."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size < cores * SMALL and len(df.inputFiles()) < cores else df
 
 
 def ddl(schema: str) -> T.StructType:

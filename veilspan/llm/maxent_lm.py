@@ -1,30 +1,37 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-The distribution of a word given its history is factored into classes: a softmax over CLASSES classes, then
-one over the MEMBERS words of the class. The frequent words are members; all others share one member and
-are told apart by their counts. Features are hashed: the last word, the one before (a skip), both together
-(a trigram) and the third last (a skip); each feature owns a row of class weights, and with the class a row
-of member weights. Probabilities sum to one over all words seen in training and one for those unseen.
+The distribution of a word given its history is factored into classes of classes: the HEAD most frequent words
+and the classes of all others are the leaves of a 16-ary Huffman tree, and each inner node holds a softmax over
+its children. A frequent word takes one or two decisions, a rare one more, so the mean cost grows with the
+entropy of the words and not with their number. Words beyond the head fall into TAIL classes by their ending;
+inside its class a word goes by its count. Features are hashed: the last word, the one before it (a skip) and
+both together (a trigram); with a node each owns a row of 16 weights. Probabilities sum to one over all words
+seen in training and one unseen word for each tail class.
+
+What is gathered grows with the input: the counts of all words (a table), the leaves up to HEAD, and the rows of
+weights, one for every TOKENS_A_ROW training tokens, between LEAST_ROWS and MOST_ROWS. HEAD and MOST_ROWS bound
+what is broadcast (64 MB of weights); words beyond the head are joined by shuffle.
 
 Training is data-parallel: every training document is seen once, in ROUNDS rounds. In a round each task runs
-AdaGrad over its documents from the weights of the round before and hands on the rows it changed, weighted by
-how often; a tree of streaming sums merges them, so no task holds more than two models, and the driver
-receives FAN_IN partial sums at most. Counts of all words are kept as a table. Words above a count
-threshold chosen so that HEAD words at most reach it are broadcast; the others, none of them frequent, are
-joined by shuffle. Scoring runs over sparse batches in numpy.
+AdaGrad over its documents from the weights of the round before and hands on, in blocks of rows, what it
+changed, weighted by how often; a tree of streaming sums adds FAN_IN parts of a block at a time until one of
+each is left, so no task holds more than its own model and two blocks, and the driver gets the model once.
+Scoring runs over sparse batches in numpy.
 
 Edge cases: a null text counts as empty and has one token, its end; a null id hashes as the empty text;
-repeated rows are scored alike (and count each in training); with no training rows every probability is that
-of the unseen word, 1; an empty table gives an empty result. Only the columns named are read, so further
-columns are ignored.
+repeated rows are scored alike (and count each in training); with no training rows every token is unseen and
+its probability is that of its tail class, by the classes' number; an empty table gives an empty result. Only
+the columns named are read, so further columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,44 +42,75 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import crc32_of_id, ddl, map_slices, slices, stash, table
 
 END = b"\n"  # no word holds it
-CLASSES = MEMBERS = 32
-#: Words that are broadcast, at most.
+WIDTH = 16
+#: Words that are broadcast, at most, and classes of the others.
 HEAD = 1 << 17
-#: Rows of class weights and of member weights.
-CLASS_ROWS, MEMBER_ROWS = 1 << 12, 1 << 13
-FEATURES = 4
+TAIL = 256
+FEATURES = 3
+TOKENS_A_ROW = 2048
+LEAST_ROWS, MOST_ROWS = 1 << 15, 1 << 20
+#: Rows of weights handed on at once.
+BLOCK = 1 << 12
 ROUNDS = ((0, 1, 3), (4, 5, 6))  # remainders mod 7 of the documents of a round; 2 is held out
 HELD_OUT = 2
 RATE = 0.15
-BATCH = 4096
+BATCH = 1 << 15
 FAN_IN = 16
 
 
+def tail_class(word: bytes) -> int:
+    return zlib.crc32(word[-3:]) % TAIL
+
+
+def tree(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A WIDTH-ary Huffman tree over leaves of some mass: (path starts, nodes, branches, log-priors [node, branch]).
+
+    Leaf i decides at nodes[starts[i]:starts[i + 1]], from the root, for the branches beside them.
+    """
+    n = len(mass)
+    heap = [(float(m), i) for i, m in enumerate(mass)]
+    heapq.heapify(heap)
+    parent: dict[int, tuple[int, int]] = {}
+    priors: list[list[float]] = []
+    take = (n - 2) % (WIDTH - 1) + 2 if n > 1 else 1  # so that every further node is full
+    while len(heap) > 1 or not priors:
+        some = [heapq.heappop(heap) for _ in range(min(take, len(heap)))]
+        take = WIDTH
+        node, total = len(priors), sum(m for m, _ in some)
+        for branch, (_, x) in enumerate(some):
+            parent[x] = (node, branch)
+        priors.append([np.log(m / total) for m, _ in some] + [-40.0] * (WIDTH - len(some)))
+        heapq.heappush(heap, (total, n + node))
+    starts, nodes, branches = [0], [], []
+    for i in range(n):
+        path, x = [], i
+        while x in parent:
+            path.append(parent[x])
+            x = n + parent[x][0]
+        nodes += [p[0] for p in reversed(path)]
+        branches += [p[1] for p in reversed(path)]
+        starts.append(len(nodes))
+    return np.array(starts, np.int64), np.array(nodes, np.int64), np.array(branches, np.int64), np.array(priors, np.float32)
+
+
 @dataclass
 class Vocabulary:
-    """Frequent words with their counts, the member slots, and sums over all training tokens."""
+    """Frequent words with their counts, sums over all training tokens, and tokens and words of each tail class."""
 
     words: list[bytes]
     counts: np.ndarray
     tokens: int  # N
     distinct: int  # V
+    tail_tokens: np.ndarray
+    tail_words: np.ndarray
 
     def __post_init__(self):
         self.rank = {w: i for i, w in enumerate(self.words)}
-        own = min(len(self.words), CLASSES * MEMBERS - 1)
-        rest = self.tokens - int(self.counts[:own].sum())
-        slot = int(np.searchsorted(-self.counts[:own], -rest))  # the shared member stands by its count
-        self.shared = slot
-        self.slots = np.full(len(self.words) + 1, slot, np.int64)  # the last: words beyond the head
-        self.slots[:own] = np.where(np.arange(own) < slot, np.arange(own), np.arange(own) + 1)
-        self.rest_total = rest + (self.distinct - own) + 1  # shared member: (c + 1) / rest_total
-        mass = np.full(CLASSES * MEMBERS, 1e-9)
-        mass[self.slots[:own]] = self.counts[:own]
-        mass[slot] = rest + 1
-        grid = mass.reshape(CLASSES, MEMBERS)
-        self.class_bias = np.log(grid.sum(1) / grid.sum()).astype(np.float32)
-        self.member_bias = np.log(grid / grid.sum(1, keepdims=True)).astype(np.float32)
-        self.log_counts = np.r_[np.log10(self.counts + 1.0), 0.0]
+        self.log_counts = np.r_[np.log10(self.counts + 1.0), np.zeros(TAIL)]
+        self.tail_total = np.log10(self.tail_tokens + self.tail_words + 1.0)  # inside a class: (c + 1) / total
+        self.starts, self.nodes, self.branches, self.priors = tree(np.r_[self.counts, self.tail_tokens + 1.0])
+        wanted = max(1, self.tokens // TOKENS_A_ROW)
+        self.rows = min(MOST_ROWS, max(LEAST_ROWS, 1 << (wanted - 1).bit_length()))
 
 
 def hashed(parts: list[np.ndarray], seed: int) -> np.ndarray:
@@ -84,130 +122,144 @@ def hashed(parts: list[np.ndarray], seed: int) -> np.ndarray:
 
 
 class Tokens:
-    """Tokens of a slice: head ranks (len(words) for others), words beyond the head, features."""
+    """Tokens of a slice: leaves (ranks, or the tail class after them), words beyond the head, features."""
 
     def __init__(self, texts: list[bytes], v: Vocabulary):
-        rank, none = v.rank, len(v.words)
-        cut = [[*t.lower().split(), END] for t in texts]
-        self.lengths = np.array([len(c) for c in cut], np.int64)
+        get, none = v.rank.get, len(v.words)
+        cut = [t.lower().split() for t in texts]
+        for c in cut:
+            c.append(END)
+        self.lengths = np.fromiter(map(len, cut), np.int64, len(cut))
         self.starts = np.r_[0, np.cumsum(self.lengths)[:-1]].astype(np.int64)
-        flat = [w for c in cut for w in c]
-        self.rank = np.fromiter((rank.get(w, none) for w in flat), np.int64, len(flat))
-        self.beyond = np.flatnonzero(self.rank == none)
+        flat = list(chain.from_iterable(cut))
+        self.leaf = np.fromiter(map(get, flat, repeat(none)), np.int64, len(flat))
+        self.beyond = np.flatnonzero(self.leaf == none)
         self.rare = [flat[i] for i in self.beyond.tolist()]
-        ids = self.rank + 2
-        ids[self.beyond] = np.fromiter((none + 3 + (zlib.crc32(w[-3:]) & 255) for w in self.rare), np.int64, len(self.rare))
-        place = np.arange(len(flat)) - np.repeat(self.starts, self.lengths)
-        back = lambda k: np.where(place >= k, np.r_[np.zeros(k, np.int64), ids[:-k]] if len(ids) > k else 0, 0)
-        one, two, three = back(1), back(2), back(3)
-        self.features = np.stack([hashed([one], 1), hashed([two], 2), hashed([one, two], 3), hashed([three], 4)], 1)
-        slot = v.slots[self.rank]
-        self.cls, self.member = slot // MEMBERS, slot % MEMBERS
-
-    def rows(self, at: slice) -> tuple[np.ndarray, np.ndarray]:
-        f = self.features[at]
-        c = self.cls[at].astype(np.uint64)[:, None]
-        g = (f ^ ((c + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0x9E3779B97F4A7C15)
-        return (f >> np.uint64(40)).astype(np.int64) % CLASS_ROWS, (g >> np.uint64(40)).astype(np.int64) % MEMBER_ROWS
-
-
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x) @ np.ones((x.shape[1], 1), x.dtype))
-    return x
+        self.leaf[self.beyond] = np.fromiter(map(tail_class, self.rare), np.int64, len(self.rare)) + none
+        ids = self.leaf + 2
+        one, two = np.zeros_like(ids), np.zeros_like(ids)
+        one[1:], two[2:] = ids[:-1], ids[:-2]
+        one[self.starts] = two[self.starts] = 0
+        second = self.starts + 1
+        two[second[second < len(two)]] = 0
+        self.features = np.stack([hashed([one], 1), hashed([two], 2), hashed([one, two], 3)], 1)
 
 
 class Model:
     def __init__(self, v: Vocabulary, weights: bytes | None = None):
         self.v = v
-        if weights is None:
-            self.a, self.b = np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((MEMBER_ROWS, MEMBERS), np.float32)
-        else:
-            w = np.frombuffer(weights, np.float32).reshape(-1, CLASSES)
-            self.a, self.b = w[:CLASS_ROWS].copy(), w[CLASS_ROWS:].copy()
-
-    def parts(self, t: Tokens, at: slice) -> tuple:
-        ra, rb = t.rows(at)
-        pc, pm = np.broadcast_to(self.v.class_bias, (len(ra), CLASSES)).copy(), self.v.member_bias[t.cls[at]]
+        self.w = np.zeros((v.rows, WIDTH), np.float32) if weights is None else np.frombuffer(weights, np.float32).reshape(v.rows, WIDTH)
+        self.shift = np.uint64(64 - (v.rows.bit_length() - 1))
+
+    def decisions(self, t: Tokens, lo: int, hi: int) -> tuple:
+        """(token, branch, rows of weights, exponentials, their sums, scores) of the decisions of tokens lo to hi."""
+        v, leaf = self.v, t.leaf[lo:hi]
+        n = v.starts[leaf + 1] - v.starts[leaf]
+        token = np.repeat(np.arange(hi - lo), n)
+        at = np.repeat(v.starts[leaf] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(len(token))
+        node, branch = v.nodes[at], v.branches[at]
+        mix = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        rows = (((t.features[lo:hi][token] ^ mix[:, None]) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        z = np.take(v.priors, node, 0)
         for k in range(FEATURES):
-            pc += np.take(self.a, ra[:, k], 0)
-            pm += np.take(self.b, rb[:, k], 0)
-        return ra, rb, log_softmax(pc), log_softmax(pm)
+            z += np.take(self.w, rows[:, k], 0)
+        picked = z[np.arange(len(z)), branch]
+        np.exp(z, out=z)  # scores stay small: no maximum needs taking off
+        return token, branch, rows, z, z @ np.ones(WIDTH, np.float32), picked
 
     def log10(self, t: Tokens) -> np.ndarray:
-        """log10 probability of each token's member; what tells the words of the shared member apart is left out."""
-        out = np.zeros(len(t.rank))
-        for i in range(0, len(out), BATCH):
-            at = slice(i, min(len(out), i + BATCH))
-            _, _, pc, pm = self.parts(t, at)
-            k = np.arange(at.stop - at.start)
-            out[at] = pc[k, t.cls[at]].astype(np.float64) + pm[k, t.member[at]]
+        """log10 probability of each token's leaf; what tells the words of a tail class apart is left out."""
+        out = np.zeros(len(t.leaf))
+        for lo in range(0, len(out), BATCH):
+            hi = min(len(out), lo + BATCH)
+            token, _, _, _, total, picked = self.decisions(t, lo, hi)
+            out[lo:hi] = np.bincount(token, picked.astype(np.float64) - np.log(total), hi - lo)
         return out / np.log(10)
 
-    def learn(self, t: Tokens, state: dict) -> None:
-        for i in range(0, len(t.rank), BATCH):
-            at = slice(i, min(len(t.rank), i + BATCH))
-            ra, rb, pc, pm = self.parts(t, at)
-            k = np.arange(at.stop - at.start)
-            for w, rows, p, y, name in ((self.a, ra, pc, t.cls[at], "a"), (self.b, rb, pm, t.member[at], "b")):
-                g = -np.exp(p)
-                g[k, y] += 1
-                flat = rows.ravel()
-                order = np.argsort(flat, kind="stable")
-                key = flat[order]
-                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                sums = np.cumsum(np.take(g, order // FEATURES, 0), 0, dtype=np.float64)[np.r_[first[1:], len(key)] - 1]
-                grad = np.diff(sums, axis=0, prepend=0).astype(np.float32)
-                row = key[first]
-                state[name][row] += grad * grad
-                w[row] += RATE * grad / np.sqrt(state[name][row])
-                state["n"][row + (CLASS_ROWS if name == "b" else 0)] += np.diff(np.r_[first, len(key)])
-
-
-SUMS = "g int, data binary"
-
-
-def local_updates(docs: DataFrame, v, weights: bytes) -> DataFrame:
-    """A row per task: its changes times their counts, and the counts."""
+    def learn(self, t: Tokens, state: np.ndarray, seen: np.ndarray) -> None:
+        place = np.zeros(self.v.rows, np.int32)
+        for lo in range(0, len(t.leaf), BATCH):
+            _, branch, rows, g, total, _ = self.decisions(t, lo, min(len(t.leaf), lo + BATCH))
+            g *= (-1 / total)[:, None]
+            g[np.arange(len(g)), branch] += 1
+            flat = rows.T.ravel()
+            each = np.arange(len(flat), dtype=np.int32)
+            place[flat] = each  # the last place of a row stands for it
+            last = place[flat]
+            own = last == each
+            number = (np.cumsum(own) - 1)[last]
+            row = flat[own]
+            columns = g.T.astype(np.float64, order="C")
+            sums = np.stack([np.bincount(number, np.tile(c, FEATURES), len(row)) for c in columns], 1).astype(np.float32)
+            times = np.bincount(number, minlength=len(row))
+            for i in range(0, len(row), 1 << 12):  # small enough to stay in the cache
+                r, grad = row[i : i + (1 << 12)], sums[i : i + (1 << 12)]
+                square = np.take(state, r, 0)
+                square += grad * grad
+                state[r] = square
+                grad /= np.sqrt(square, out=square)
+                grad *= RATE
+                self.w[r] += grad
+                seen[r] += times[i : i + (1 << 12)]
+
+
+SUMS = "block int, part int, data binary"
+
+
+def local_updates(docs: DataFrame, held, weights: bytes) -> DataFrame:
+    """By task and block of rows: its changes times how often each row was met, and how often."""
     schema = to_arrow_schema(ddl(SUMS))
-    held = docs.sparkSession.sparkContext.broadcast(weights)
+    start = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        model = Model(v.value, held.value)
-        old = np.concatenate([model.a, model.b])
-        state = {"a": np.full(model.a.shape, 1.0, np.float32), "b": np.full(model.b.shape, 1.0, np.float32), "n": np.zeros(len(old), np.float32)}
-        any_ = False
+        v, task, model = held.value, TaskContext.get().partitionId(), None
         for part in slices(batches, ["text"]):
-            any_ = True
-            model.learn(Tokens(part["text"], v.value), state)
-        if any_:
-            n = state["n"][:, None]
-            data = np.concatenate([(np.concatenate([model.a, model.b]) - old) * n, n], 1).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([data.tobytes()], pa.binary())], schema=schema)
+            if model is None:
+                model = Model(v, start.value)
+                model.w = model.w.copy()
+                state, seen = np.ones(model.w.shape, np.float32), np.zeros(v.rows, np.float32)
+            model.learn(Tokens(part["text"], v), state, seen)
+        if model is None:
+            return
+        old = np.frombuffer(start.value, np.float32).reshape(model.w.shape)
+        for lo in range(0, v.rows, BLOCK):
+            n = seen[lo : lo + BLOCK, None]
+            if n.any():
+                data = np.concatenate([(model.w[lo : lo + BLOCK] - old[lo : lo + BLOCK]) * n, n], 1)
+                yield pa.RecordBatch.from_arrays([pa.array([lo // BLOCK], pa.int32()), pa.array([task], pa.int32()), pa.array([data.tobytes()], pa.binary())], schema=schema)
 
     return docs.select("text").mapInArrow(run, SUMS)
 
 
-def summed(parts: DataFrame, n: int) -> np.ndarray:
-    """Sum of the arrays of ``n`` rows at most: a tree of tasks that each add FAN_IN of them as they stream by."""
+def summed(parts: DataFrame, n: int, blocks: int) -> dict[int, np.ndarray]:
+    """Sums of the arrays of each block, of ``n`` parts at most: a tree of tasks that each add FAN_IN of them as they stream by."""
     schema = to_arrow_schema(ddl(SUMS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, g = None, 0
+        now, total = None, None
         for b in batches:
             for i in range(b.num_rows):
-                x = np.frombuffer(b.column(1)[i].as_buffer(), np.float32)
-                total, g = (x.copy() if total is None else total + x), b.column(0)[i].as_py()
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([total.tobytes()], pa.binary())], schema=schema)
-
-    while n > FAN_IN:
+                key, x = (b.column(0)[i].as_py(), b.column(1)[i].as_py()), np.frombuffer(b.column(2)[i].as_buffer(), np.float32)
+                if key != now:
+                    if now is not None:
+                        yield row(*now, total)
+                    now, total = key, x.copy()
+                else:
+                    total += x
+        if now is not None:
+            yield row(*now, total)
+
+    def row(block: int, part: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], schema=schema)
+
+    while n > 1:
         n = -(-n // FAN_IN)
-        parts = parts.withColumn("g", F.pmod("g", F.lit(n))).repartition(n, "g").mapInArrow(run, SUMS)
-    got = [np.frombuffer(r[0], np.float32) for r in parts.select("data").collect()]
-    return np.sum(got, 0).reshape(-1, CLASSES + 1) if got else np.zeros((CLASS_ROWS + MEMBER_ROWS, CLASSES + 1), np.float32)
+        # about four blocks a task: each reads at most 4 * FAN_IN of them
+        dealt = parts.withColumn("part", F.pmod("part", F.lit(n))).repartition(max(1, n * blocks // 4), "block", "part")
+        parts = dealt.sortWithinPartitions("block", "part").mapInArrow(run, SUMS)
+    return {r["block"]: np.frombuffer(r["data"], np.float32).reshape(-1, WIDTH + 1) for r in parts.select("block", "data").collect()}  # one model
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -233,23 +285,29 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
         if room < 0:
             break
         least = r["low"]
-    head = counts.where(F.col("c") >= least).collect() if least is not None else []
-    head.sort(key=lambda r: (-r["c"], bytes(r["word"])))
-    v = Vocabulary([bytes(r["word"]) for r in head], np.array([r["c"] for r in head], np.int64), sum(r["c"] for r in by), sum(r["n"] for r in by))
-    return v, least or 1 << 62
+    found = counts.where(F.col("c") >= least).toArrow() if least is not None else None
+    head = sorted(zip(found["word"].to_pylist(), found["c"].to_pylist(), strict=True), key=lambda r: (-r[1], r[0])) if found else []
+    least = least or 1 << 62
+    ending = F.crc32(F.expr("substring(word, greatest(1, length(word) - 2), 3)")) % TAIL
+    tokens, words = np.zeros(TAIL, np.int64), np.zeros(TAIL, np.int64)
+    for r in counts.where(F.col("c") < least).groupBy(ending.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
+        tokens[r["k"]], words[r["k"]] = r["c"], r["n"]
+    v = Vocabulary([w for w, _ in head], np.array([c for _, c in head], np.int64), sum(r["c"] for r in by), sum(r["n"] for r in by), tokens, words)
+    return v, least
 
 
 def trained(docs: DataFrame, held, rounds=ROUNDS) -> bytes:
     """Weights after the rounds, from the documents outside the held-out fold."""
-    fold = crc32_of_id(F.col("doc_id")) % 7
-    model = Model(held.value)
-    w = np.concatenate([model.a, model.b])
+    fold, v = crc32_of_id(F.col("doc_id")) % 7, held.value
+    w = np.zeros((v.rows, WIDTH), np.float32)
     for remainders in rounds:
         part = docs.where(fold.isin(*remainders))
-        got = summed(local_updates(part, held, w.tobytes()), part.rdd.getNumPartitions())
-        n = got[:, -1:]
-        w = w + np.where(n > 0, got[:, :-1] / np.maximum(n, 1), 0).astype(np.float32)
-    return w.astype(np.float32).tobytes()
+        for block, got in summed(local_updates(part, held, w.tobytes()), part.rdd.getNumPartitions(), -(-v.rows // BLOCK)).items():
+            w[block * BLOCK : (block + 1) * BLOCK] += got[:, :-1] / np.maximum(got[:, -1:], 1)
+    return w.tobytes()
+
+
+ROWS = "key long, doc_id long, n_tokens long, known long, logs double, model double, rare array<struct<word: binary, n: long>>"
 
 
 def score_documents(docs: DataFrame, name: str = "lm") -> DataFrame:
@@ -260,47 +318,34 @@ def score_documents(docs: DataFrame, name: str = "lm") -> DataFrame:
     counts = stash(word_counts(docs.where(fold != HELD_OUT)), f"{name}-counts")
     v, least = vocabulary(counts)
     held = spark.sparkContext.broadcast(v)  # at most HEAD words
-    weights = spark.sparkContext.broadcast(trained(docs, held))  # CLASS_ROWS + MEMBER_ROWS rows
+    weights = spark.sparkContext.broadcast(trained(docs, held))  # at most MOST_ROWS rows
 
     def known_part(part: dict) -> dict:
-        from xxhash import xxh64_intdigest
+        from pyspark import TaskContext
 
-        v, model = held.value, Model(held.value, weights.value)
-        t = Tokens(part["text"], v)
+        v = held.value
+        t, n = Tokens(part["text"], v), len(part["text"])
         per = lambda x: np.add.reduceat(x, t.starts)
-        inside = (t.rank < len(v.words)).astype(np.int64)
-        shared = (v.slots[t.rank] == v.shared).astype(np.int64)
-        logs = v.log_counts[t.rank]
-        return {
-            "doc_id": part["doc_id"], "mark": [xxh64_intdigest(x, 42) & 0xFFFFFFFF for x in part["text"]], "n_tokens": t.lengths, "known": per(inside),
-            "logs": per(logs), "model": per(model.log10(t)), "shared": per(shared), "shared_logs": per(logs * shared),
-        }
-
-    def rare_part(part: dict) -> dict | None:
-        from xxhash import xxh64_intdigest
-
-        rank, keys, words, counts_ = held.value.rank, [], [], []
-        for doc_id, x in zip(part["doc_id"], part["text"], strict=True):
-            c = Counter(w for w in (*x.lower().split(), END) if w not in rank)
-            if c:
-                words += c
-                counts_ += c.values()
-                keys += [(doc_id, xxh64_intdigest(x, 42) & 0xFFFFFFFF)] * len(c)
-        return {"doc_id": [k[0] for k in keys], "mark": [k[1] for k in keys], "word": words, "n": counts_} if keys else None
-
-    rows = stash(map_slices(docs, known_part, "doc_id long, mark long, n_tokens long, known long, logs double, model double, shared long, shared_logs double"), f"{name}-rows")
-    rare = map_slices(docs, rare_part, "doc_id long, mark long, word binary, n long").join(counts.where(F.col("c") < least), "word", "left")
-    # equal rows add the same words to one key: divided by their number below
-    sums = rare.groupBy("doc_id", "mark").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rare_known"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).alias("rare_logs"))
-    copies = rows.groupBy("doc_id", "mark").agg(F.count("*").alias("copies"))
-    key = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["mark"] == b["mark"])
-    extra = copies.join(sums, key(copies, sums), "left").select(copies["doc_id"], copies["mark"], *((F.coalesce(c, F.lit(0)) / F.col("copies")).alias(c) for c in ("rare_known", "rare_logs")))
-    out = rows.join(extra, key(rows, extra), "left").drop(extra["doc_id"]).drop(extra["mark"])
+        inside = t.leaf < len(v.words)
+        own = Model(v, weights.value).log10(t) - np.where(inside, 0, np.r_[np.zeros(len(v.words)), v.tail_total][t.leaf])
+        rare: list[list] = [[] for _ in range(n)]
+        doc = np.searchsorted(t.starts, t.beyond, "right") - 1
+        for (d, w), k in Counter(zip(doc.tolist(), t.rare, strict=True)).items():
+            rare[d].append({"word": w, "n": k})
+        first = (TaskContext.get().partitionId() << 36) + numbers.setdefault("next", 0)
+        numbers["next"] += n
+        return {"key": np.arange(first, first + n), "doc_id": part["doc_id"], "n_tokens": t.lengths, "known": per(inside.astype(np.int64)), "logs": per(v.log_counts[t.leaf]), "model": per(own), "rare": rare}
+
+    numbers: dict[str, int] = {}
+    # the keys are made up while reading, so the rows are kept
+    rows = stash(map_slices(docs, known_part, ROWS), f"{name}-rows")
+    rare = rows.select("key", F.explode("rare").alias("r")).select("key", "r.word", "r.n").join(counts.where(F.col("c") < least), "word")
+    sums = rare.groupBy("key").agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + F.lit(1.0))).alias("rare_logs"))  # a word not seen adds nothing
+    out = rows.join(sums, "key", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("rare_known", "rare_logs")})
     base = np.log10(v.tokens + v.distinct + 1)
     return out.select(
-        "doc_id", (fold == HELD_OUT).alias("held_out"), "n_tokens", (F.col("known") + F.col("rare_known").cast("long")).alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.col("rare_logs") - F.col("n_tokens") * F.lit(float(base))).alias("base_score"),
-        (F.col("model") + F.col("shared_logs") + F.col("rare_logs") - F.col("shared") * F.lit(float(np.log10(v.rest_total)))).alias("score"),
+        "doc_id", (fold == HELD_OUT).alias("held_out"), "n_tokens", (F.col("known") + F.col("rare_known")).cast("long").alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
+        (F.col("logs") + F.col("rare_logs") - F.col("n_tokens") * F.lit(float(base))).alias("base_score"), (F.col("model") + F.col("rare_logs")).alias("score"),
     )
 
 
