@@ -277,20 +277,31 @@ def test_substring_dedup(docs):
     same(substring_lz.dedup_substrings(docs).collect(), expected)
 
 
-def test_pieces(spark, docs, monkeypatch, tmp_path):
+def test_pieces(spark, docs, monkeypatch):
     p = pieces.Pieces(pieces.VOCABULARY)
-    library = sentencepiece.SentencePieceProcessor(model_proto=pieces.unigram_file(pieces.VOCABULARY))
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.VOCABULARY)
     r = Random(2)
-    for _ in range(300):
-        t = "".join(r.choice("abthe é日本\n\t ,.1☃🙂") for _ in range(r.randint(0, 60)))
-        s = pieces.marked(t)
-        _, back, _ = p.forward(s, len(s), {0: 0.0})
-        whole = p.trace(s, back, len(s))[0]
-        assert p.encode(t) == whole == library.encode(s) and p.decode(whole) == t
+    texts = ["".join(r.choice("abthe é日本\n\t ,.1☃🙂") for _ in range(r.randint(0, 60))) for _ in range(300)] + [(t or "")[:3000] for _, t in rows()]
+    for t in texts:
+        assert p.encode(t) == library.encode(t) and p.decode(p.encode(t)) == t
     monkeypatch.setattr(pieces, "CHUNK_CHARS", 37)
-    big = spark.createDataFrame([(1, "ab cd  the "*40), (2, "xyzabthe"*50), (None, "é\n\n日 "*60), (1, "ab cd  the "*40), (3, None)], "doc_id long, text string")
-    got = pieces.encode(big, giant=100).collect()
-    same([(x["doc_id"], x["ids"]) for x in got], [(x["doc_id"], p.encode(x["text"] or "")) for x in big.collect()])
+    junk = ["".join(r.choice(letters) for _ in range(r.randint(100, 700))) for letters in ("ab", "the", "abcdefghijklmnopqrstuvwxyz0123456789", "aA=+/", "é日☃", "thand ing") for _ in range(4)]
+    table = [(1, "ab cd  the "*40), (2, "xyzabthe"*50), (None, "é\n\n日 "*60), (1, "ab cd  the "*40), (3, None), (4, "a" * 1000), *((9, t) for t in junk)]
+    big = spark.createDataFrame(table, "doc_id long, text string")
+    got = pieces.encode(big, giant=99)
+    same([(x["doc_id"], x["ids"]) for x in got.collect()], [(d, library.encode(t or "")) for d, t in table])
+    same([(x["doc_id"], x["text"]) for x in pieces.decode(got).collect()], [(d, t or "") for d, t in table])
+
+
+def test_paths_of_neighbours_are_the_merges(monkeypatch):
+    """The one path of score 0 through a text without borders, however it is cut, is the library's encoding."""
+    p = pieces.Pieces(pieces.VOCABULARY)
+    r = Random(5)
+    for letters in ("aeiou", "thering", "abc日☃", "etaoinshrdluETAOIN0123456789-", "_=a"):
+        for _ in range(15):
+            s = "".join(r.choice(letters) for _ in range(r.randint(1, 120)))
+            back = p.paths(s, 0, len(s), [(0, 0)])[0]
+            assert p.trace(s, back, 0, len(s)) == p.library.encode(s)
 
 
 def test_chat(spark):

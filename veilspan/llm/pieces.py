@@ -1,18 +1,16 @@
 """SentencePiece encoding and decoding by a max-plus parallel scan.
 
-The vocabulary file is read as a unigram model: a text's ids are the segmentation with the highest sum of
-piece scores, ties going to the longer last piece, unknown characters to byte pieces. The scores of a
-byte-pair file are merge ranks, no log-probabilities, so a piece of rank r gets that of Zipf's law,
--ln((r+1) H), rounded to 1/1024 so that sums are exact. Ids are therefore those of the library for a unigram
-file with these scores, not those of its merge procedure; decoding is the same for both. No piece
-holds a line end, nor a space mark after another character, so no piece crosses a line end or a space mark after
-another character; ordinary texts are encoded word by word from a memo that the library fills.
-
-Giant texts are cut anywhere into chunks. A chunk's state at its border is how many characters a piece
-overhangs it (0..MAX_PIECE-1); each chunk yields its transfer matrix from entry to exit state in the (max, +)
-semiring. Matrices are combined associatively per text into the best score of each border state; given
-those, each chunk alone tells which entry state leads to each exit state; composing these from the end fixes
-the border states, and each chunk is backtraced alone. All three steps run a chunk at a time, on any executor.
+Ids are those of the library for the vocabulary file's own merges (byte-pair encoding with byte fallback). No
+piece holds a line end, nor a space mark after another character, so no merge crosses these; ordinary texts are
+encoded word by word from a memo that the library fills.
+
+Merges as such are no best path, but their result is one: a sequence of pieces is what the merges give if and
+only if each two neighbours are what the merges give for the two together. So neighbours that are score 0 and
+all others minus infinity; the one path of score 0 through a text is its encoding. Giant texts are cut anywhere
+into chunks. A chunk's state at its border is the piece that reaches it: how many characters lie before the
+border and how many overhang it. Each chunk yields the transfer matrix from entry to exit states in the
+(max, +) semiring; matrices are combined associatively per text, the path's border states follow from the end,
+and each chunk is backtraced alone. Matrices and backtraces run a chunk at a time, on any executor.
 
 Edge cases: a null or empty text has no ids; the space mark itself (U+2581) in a text decodes to a space, as
 the format has it; null ids and repeated rows are passed through, a row for each row; an empty table gives an
@@ -22,16 +20,17 @@ empty result. Further columns are carried only if asked for.
 from __future__ import annotations
 
 import functools
-import math
 import re
-import struct
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import map_slices, stash, table
 
@@ -41,25 +40,16 @@ MARK = "▁"
 GIANT_CHARS = 1 << 15
 CHUNK_CHARS = 1 << 14
 MOST_CHUNKS = 1 << 12
-#: Characters whose words are looked up together.
+#: Characters whose words are looked up together, and ids decoded together.
 LEARN_CHARS = 1 << 20
+DECODE_IDS = 1 << 20
 UNIT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
-LOW = -np.inf
 
 
-def zipf(score: float, n: int) -> float:
-    """Log-probability of a piece whose file score is -rank, of n; pieces without a rank come last."""
-    rank = -score if 0 <= -score < n else n
-    return -round(1024 * (math.log(rank + 1) + math.log(math.log(n) + 0.5772))) / 1024
-
-
-def unigram_file(path: str) -> bytes:
-    """The vocabulary file with Zipf scores, marked as a unigram model that adds no mark before a text."""
-    import sentencepiece
-
+def bare_file(path: str) -> bytes:
+    """The vocabulary file with settings that leave a text as it is: no mark before it, white space kept."""
     with open(path, "rb") as f:
         data = f.read()
-    n = sentencepiece.SentencePieceProcessor(model_proto=data).get_piece_size()
 
     def varint(at: int) -> tuple[int, int]:
         value = shift = 0
@@ -69,32 +59,23 @@ def unigram_file(path: str) -> bytes:
             if b < 128:
                 return value, at
 
-    def number(key: bytes, value: int) -> bytes:
-        return key + bytes([value])
-
     out, at = bytearray(), 0
-    while at < len(data):  # fields of the file: 1 a piece (1 its text, 2 its score), 2 the trainer's, 3 the normaliser's settings
+    while at < len(data):  # fields of the file: 1 a piece, 2 the trainer's, 3 the normaliser's settings
         length, start = varint(at + 1)
         body = data[start : start + length]
-        if data[at] == 0x0A:
-            k = 2 + body[1]
-            if body[k : k + 1] == b"\x15":
-                body = body[: k + 1] + struct.pack("<f", zipf(struct.unpack("<f", body[k + 1 : k + 5])[0], n)) + body[k + 5 :]
-        elif data[at] == 0x12:
-            body += number(b"\x18", 1)  # the last value of a field holds: model_type = unigram
-        elif data[at] == 0x1A:
-            body += number(b"\x18", 0) + number(b"\x20", 0) + number(b"\x28", 1)  # no dummy prefix, keep white space, escape it
-        size, head = len(body), bytearray([data[at]])
+        if data[at] == 0x1A:
+            body += bytes([0x18, 0, 0x20, 0, 0x28, 1])  # no dummy prefix, keep white space, escape it: the last value of a field holds
+        size, lead = len(body), bytearray([data[at]])
         while size >= 128:
-            head.append(size & 127 | 128)
+            lead.append(size & 127 | 128)
             size >>= 7
-        out += head + bytes([size]) + body
+        out += lead + bytes([size]) + body
         at = start + length
     return bytes(out)
 
 
 class Pieces:
-    """Scores of a SentencePiece vocabulary, with the dynamic programme over one stretch of characters."""
+    """The pieces of a SentencePiece vocabulary, and paths of neighbours that the merges give."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -104,52 +85,31 @@ class Pieces:
         own = [i for i in range(n) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
         self.text = [m.id_to_piece(i) for i in range(n)]
         self.ids = {self.text[i]: i for i in own}
-        self.score = {self.text[i]: zipf(m.get_score(i), n) for i in own}
         self.bytes = {self.text[i]: i for i in range(n) if m.is_byte(i)}
-        self.byte_of = {i: int(t[1:-1], 16) for t, i in self.bytes.items()}
-        self.unknown_id, self.unknown = m.unk_id(), min(self.score.values()) - 10.0
+        byte_of = {i: int(t[1:-1], 16) for t, i in self.bytes.items()}
+        self.unknown_id = m.unk_id()
         self.longest = max(map(len, self.ids))
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
             raise ValueError("a piece crosses a word border")
-        self.library = sentencepiece.SentencePieceProcessor(model_proto=unigram_file(path))
-        self.plain = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if m.is_control(i) else t.replace(MARK, " ").encode() for i, t in enumerate(self.text)]
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=bare_file(path))
+        self.plain = [bytes([byte_of[i]]) if i in byte_of else b"" if m.is_control(i) else t.replace(MARK, " ").encode() for i, t in enumerate(self.text)]
         self.memo: dict[str, list[int]] = {}
-
-    def forward(self, s: str, n: int, entry: dict[int, float]) -> tuple[list[float], list[int], dict[int, tuple[float, int]]]:
-        """Best scores and piece starts at 0..n given entry states (offset -> score), and those of exits past n.
-
-        ``s`` may go on past n: pieces start before n and may end up to longest-1 after it.
-        """
-        end = min(len(s), n + self.longest - 1)
-        value, back = [LOW] * (end + 1), [-1] * (end + 1)
-        for a, v in entry.items():
-            if a <= end:
-                value[a] = v
-        score, unknown, longest = self.score, self.unknown, self.longest
-        for i in range(n):
-            v = value[i]
-            if v == LOW:
-                continue
-            single = False
-            for j in range(i + 1, min(i + longest, end) + 1):
-                p = score.get(s[i:j])
-                if p is not None:
-                    single = single or j == i + 1
-                    # an entry at j competes with pieces that end there; the earliest start wins ties
-                    if v + p > value[j]:
-                        value[j], back[j] = v + p, i
-            if not single and v + unknown > value[i + 1]:
-                value[i + 1], back[i + 1] = v + unknown, i
-        return value, back, {j - n: (value[j], back[j]) for j in range(n, end + 1) if value[j] > LOW}
-
-    def trace(self, s: str, back: list[int], at: int) -> tuple[list[int], int]:
-        """Ids of the best path ending at ``at``, and the entry offset where it began."""
-        out: list[int] = []
-        while (i := back[at]) >= 0:
-            piece = self.ids.get(s[i:at])
-            out += [piece] if piece is not None else [self.bytes.get(f"<0x{b:02X}>", self.unknown_id) for b in reversed(s[i:at].encode())]
-            at = i
-        return out[::-1], at
+        self.known: dict[tuple[str, str], bool] = {}
+
+    def ids_of(self, token: str) -> list[int]:
+        """A piece's id, or the byte pieces of a character that is none."""
+        piece = self.ids.get(token)
+        return [piece] if piece is not None else [self.bytes.get(f"<0x{b:02X}>", self.unknown_id) for b in token.encode()]
+
+    def neighbours(self, a: str, b: str) -> bool:
+        """Whether the merges give ``a`` and ``b`` for both together (``a`` empty: ``b`` for itself)."""
+        found = self.known.get((a, b))
+        if found is None:
+            if len(self.known) > 400_000:
+                self.known = {}
+            wanted = self.ids_of(a) + self.ids_of(b) if a else self.ids_of(b)
+            self.known[a, b] = found = self.library.encode(a + b) == wanted
+        return found
 
     def learn(self, parts: Iterable[str]) -> dict[str, list[int]]:
         """A memo that has the ids of all ``parts`` (units: no border inside)."""
@@ -159,17 +119,6 @@ class Pieces:
             self.memo.update(zip(new, self.library.encode(new, num_threads=1), strict=True))
         return self.memo
 
-    def total(self, ids: list[int]) -> float:
-        """Score sum of ids; an unknown character counts once, at its first byte."""
-        out = 0.0
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is None:
-                out += self.score[self.text[i]]
-            elif b & 0xC0 != 0x80:
-                out += self.unknown
-        return out
-
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; the units of about LEARN_CHARS are held at once."""
         out: list[np.ndarray] = []
@@ -191,63 +140,86 @@ class Pieces:
         """The text; its first mark stands before the first word, and bytes that are no character become U+FFFD."""
         return b"".join(map(self.plain.__getitem__, ids)).decode(errors="replace")[1:]
 
-    # A chunk: ``s`` with its first ``n`` characters its own.
-
-    def borders(self, s: str, n: int) -> list[int]:
-        """Positions in 1..n-1 that no piece crosses."""
-        return [m.start() + 1 for m in re.finditer(f"[^{MARK}](?=[{MARK}\n])|\n(?=[^\n])", s[:n])]
-
-    def transfer(self, s: str, n: int) -> np.ndarray:
-        """Max-plus matrix [entry, exit]."""
-        k = self.longest
-        out = np.full((k, k), LOW)
-        cut = self.borders(s, n)
-        if not cut:
-            for a in range(min(k, len(s) + 1)):
-                for b, (v, _) in self.forward(s, n, {a: 0.0})[2].items():
-                    out[a, b] = v
-                if a > n:
-                    out[a, :] = LOW
-                    out[a, a - n] = 0.0
-            return out
-        first, last = cut[0], cut[-1]
-        inner = units(s[first:last])
-        memo = self.learn(inner)
-        middle = sum(self.total(memo[u]) for u in inner)
-        right = self.forward(s[last:], n - last, {0: middle})[2]
-        for a in range(min(k, first + 1)):
-            left = self.forward(s[:first], first, {a: 0.0})[0][first]
-            for b, (v, _) in right.items():
-                out[a, b] = left + v
-        return out
+    # Chunks. ``f`` is a chunk's own characters f[a:b] with up to ``longest`` before and ``longest`` - 1 after them.
+
+    def states(self, f: str, at: int) -> list[tuple[int, int]]:
+        """(start, end) in ``f`` of every piece that may reach the border at ``at``; at a text's start only (0, 0)."""
+        if at == 0:
+            return [(0, 0)]
+        reach = range(at, min(len(f), at + self.longest - 1) + 1)
+        return [(x, y) for x in range(at - 1, max(-1, at - self.longest - 1), -1) for y in reach if y - x <= self.longest and (f[x:y] in self.ids or (y - x == 1 and f[x] not in self.ids))]
+
+    def paths(self, f: str, start: int, end: int, entries: list[tuple[int, int]]) -> list[dict[int, int] | list[int]]:
+        """For each entry piece: the start of the piece that ends at each position, on the path from it; pieces start before ``end``.
 
-    def entry_of(self, s: str, n: int, entry: dict[int, float]) -> list[int]:
-        """For each exit state the entry state that the best path comes from (-1: none)."""
-        cut = self.borders(s, n)
-        out = [-1] * self.longest
-        if cut:
-            _, back, _ = self.forward(s[: cut[0]], cut[0], entry)
-            a = self.trace(s, back, cut[0])[1]
-            for b in self.forward(s[cut[-1] :], n - cut[-1], {0: 0.0})[2]:
-                out[b] = a
-            return out
-        _, back, ends = self.forward(s, n, entry)
-        for b in ends:
-            out[b] = self.trace(s, back, n + b)[1]
+        From one entry at most one path leads to a position. Paths that agree over ``longest`` positions agree from there on.
+        """
+        ids, longest = self.ids, self.longest
+        done: list[list[int]] = []
+        for x, y in entries:
+            back = [-1] * (min(len(f), end + longest) + 1)
+            back[y] = x
+            twin, same = (done[0] if done else None), 0
+            i = y
+            while i < end:
+                if back[i] >= 0:
+                    last = f[back[i] : i]
+                    for j in range(i + 1, min(i + longest, len(back) - 1) + 1):
+                        token = f[i:j]
+                        if (token in ids or (j == i + 1 and token not in ids)) and self.neighbours(last, token):
+                            back[j] = i
+                i += 1
+                if twin is not None:
+                    same = same + 1 if back[i] == twin[i] else 0
+                    if same > longest:
+                        back[i:] = twin[i:]
+                        break
+            done.append(back)
+        return done
+
+    def ends(self, f: str, a: int, b: int) -> tuple[int, int]:
+        """The first and last position inside a..b that no piece crosses; (-1, -1) if there is none."""
+        cut = [a + m.start() + 1 for m in re.finditer(f"[^{MARK}](?=[{MARK}\n])|\n(?=[^\n])", f[a:b])]
+        cut = [c for c in cut if c < b]
+        return (cut[0], cut[-1]) if cut else (-1, -1)
+
+    def transfer(self, f: str, a: int, b: int) -> np.ndarray:
+        """Max-plus matrix [entry, exit] of a chunk, 1 for score 0 and 0 for minus infinity."""
+        entries, leaves = self.states(f, a), self.states(f, b)
+        out = np.zeros((len(entries), len(leaves)), np.int8)
+        first, last = self.ends(f, a, b)
+        short = [k for k, (_, y) in enumerate(entries) if y < (b if first < 0 else first) or y == first]
+        if first < 0:
+            for k, back in zip(short, self.paths(f, a, b, [entries[k] for k in short]), strict=True):
+                out[k] = [x >= a and back[y] == x for x, y in leaves]
+        else:
+            tail = self.paths(f, last, b, [(last, last)])[0]
+            right = np.array([x >= last and tail[y] == x for x, y in leaves], np.int8)
+            for k, back in zip(short, self.paths(f, a, first, [entries[k] for k in short]), strict=True):
+                out[k] = right * (back[first] >= 0)
+        for k, (x, y) in enumerate(entries):
+            if y >= b:  # the entry piece reaches the other border itself
+                out[k] = [s == (x, y) for s in leaves]
         return out
 
-    def backtrace(self, s: str, n: int, entry: dict[int, float], leave: int) -> list[int]:
-        """Ids of the chunk's own pieces on the best path that leaves in state ``leave``."""
-        cut = self.borders(s, n)
-        if not cut:
-            _, back, _ = self.forward(s, n, entry)
-            return self.trace(s, back, n + leave)[0]
-        _, back, _ = self.forward(s[: cut[0]], cut[0], entry)
-        out = self.trace(s, back, cut[0])[0]
-        out += list(chain.from_iterable(map(self.learn(inner := units(s[cut[0] : cut[-1]])).__getitem__, inner)))
-        tail = s[cut[-1] :]
-        _, back, _ = self.forward(tail, n - cut[-1], {0: 0.0})
-        return out + self.trace(tail, back, n - cut[-1] + leave)[0]
+    def backtrace(self, f: str, a: int, b: int, enter: int, leave: int) -> list[int]:
+        """Ids of the pieces that start in the chunk, on the path between two states."""
+        entry, (x, y) = self.states(f, a)[enter], self.states(f, b)[leave]
+        if entry[1] >= b:
+            return []
+        first, last = self.ends(f, a, b)
+        if first < 0:
+            return self.trace(f, self.paths(f, a, b, [entry])[0], entry[1], y)
+        out = self.trace(f, self.paths(f, a, first, [entry])[0], entry[1], first)
+        out += list(chain.from_iterable(map(self.learn(inner := units(f[first:last])).__getitem__, inner)))
+        return out + self.trace(f, self.paths(f, last, b, [(last, last)])[0], last, y)
+
+    def trace(self, f: str, back: list[int], start: int, at: int) -> list[int]:
+        out: list[list[int]] = []
+        while at > start:
+            out.append(self.ids_of(f[back[at] : at]))
+            at = back[at]
+        return list(chain.from_iterable(reversed(out)))
 
 
 def marked(text: str) -> str:
@@ -264,8 +236,8 @@ def pieces(path: str) -> Pieces:
 
 
 def times(v: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Max-plus product of a vector and a matrix."""
-    return (v[:, None] + m).max(0)
+    """Max-plus product of a vector and a matrix of scores 0 (as 1) and minus infinity (as 0)."""
+    return (v[:, None] & m).max(0)
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, carry: tuple[str, ...] = (), giant: int = GIANT_CHARS) -> DataFrame:
@@ -288,84 +260,79 @@ def encode_giant(rows: DataFrame, vocabulary: str, names: list[str], types: str)
     def cut(part: dict) -> dict:
         from pyspark import TaskContext
 
-        over = pieces(vocabulary).longest - 1
-        out: dict[str, list] = {c: [] for c in [*names, "key", "k", "n", "s"]}
+        longest = pieces(vocabulary).longest
+        out: dict[str, list] = {c: [] for c in [*names, "key", "k", "a", "b", "f"]}
         for r, text in enumerate(part["text"]):
             s = marked(text.decode())
             step = max(CHUNK_CHARS, -(-len(s) // MOST_CHUNKS))
             key = (TaskContext.get().partitionId() << 36) + counter.setdefault("rows", 0)
             counter["rows"] += 1
             for k, at in enumerate(range(0, len(s), step)):
+                lead, own = min(at, longest), min(step, len(s) - at)
                 for c in names:
                     out[c].append(part[c][r])
-                for c, v in (("key", key), ("k", k), ("n", min(step, len(s) - at)), ("s", s[at : at + step + over])):
+                for c, v in (("key", key), ("k", k), ("a", lead), ("b", lead + own), ("f", s[at - lead : at + own + longest - 1])):
                     out[c].append(v)
         return out
 
     counter: dict[str, int] = {}
     # the keys are made up while reading, so the chunks are kept
-    chunks = stash(map_slices(rows, cut, f"{types}, key long, k int, n int, s string"), "chunks")
+    chunks = stash(map_slices(rows, cut, f"{types}, key long, k int, a int, b int, f string"), "chunks")
 
-    @F.pandas_udf("array<double>")
-    def matrix(s: pd.Series, n: pd.Series) -> pd.Series:
+    def matrix(part: dict) -> dict:
         p = pieces(vocabulary)
-        return pd.Series([p.transfer(a, b).ravel() for a, b in zip(s, n, strict=True)], dtype="object")
+        found = [p.transfer(f.decode(), a, b) for f, a, b in zip(part["f"], part["a"], part["b"], strict=True)]
+        return {"key": part["key"], "k": part["k"], "m": [m.tobytes() for m in found], "leaves": [m.shape[1] for m in found]}
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Best scores of the states before each chunk: running max-plus products."""
+        """Entry and exit state of each chunk: products from the start, then the one path of score 0 from the end."""
         pdf = pdf.sort_values("k")
-        v, out = None, []
-        for m in pdf["m"]:
-            m = np.asarray(m)
-            m = m.reshape(int(len(m) ** 0.5), -1)
-            if v is None:
-                v = np.full(len(m), LOW)
-                v[0] = 0.0
-            out.append(v)
-            v = times(v, m)
-        return pd.DataFrame({"key": pdf["key"], "k": pdf["k"], "entry": out})
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Exit states of the chunks: entry maps composed from the end, where nothing overhangs."""
-        pdf = pdf.sort_values("k", ascending=False)
-        at, out = 0, []
-        for m in pdf["m"]:
-            out.append(at)
-            at = int(m[at])
-        return pd.DataFrame({"key": pdf["key"], "k": pdf["k"], "leave": out})
-
-    def finite(v) -> dict[int, float]:
-        return {a: float(x) for a, x in enumerate(v) if x > LOW}
-
-    @F.pandas_udf("array<int>")
-    def entries(s: pd.Series, n: pd.Series, entry: pd.Series) -> pd.Series:
-        p = pieces(vocabulary)
-        return pd.Series([p.entry_of(a, b, finite(e)) for a, b, e in zip(s, n, entry, strict=True)], dtype="object")
-
-    @F.pandas_udf("array<int>")
-    def back(s: pd.Series, n: pd.Series, entry: pd.Series, leave: pd.Series) -> pd.Series:
+        v, before, matrices = np.ones(1, np.int8), [], []
+        for m, leaves in zip(pdf["m"], pdf["leaves"], strict=True):
+            before.append(v)
+            matrices.append(np.frombuffer(m, np.int8).reshape(-1, leaves))
+            v = times(v, matrices[-1])
+        at, enter, leave = int(np.argmax(v)), [], []
+        for v, m in zip(reversed(before), reversed(matrices), strict=True):
+            leave.append(at)
+            at = int(np.argmax(v & m[:, at]))
+            enter.append(at)
+        return pd.DataFrame({"key": pdf["key"], "k": pdf["k"], "enter": enter[::-1], "leave": leave[::-1]})
+
+    def back(part: dict) -> dict:
         p = pieces(vocabulary)
-        return pd.Series([p.backtrace(a, b, finite(e), x) for a, b, e, x in zip(s, n, entry, leave, strict=True)], dtype="object")
+        found = [p.backtrace(f.decode(), *x) for f, *x in zip(part["f"], part["a"], part["b"], part["enter"], part["leave"], strict=True)]
+        return {c: part[c] for c in (*names, "key", "k")} | {"part": found}
 
-    matrices = chunks.select("key", "k", matrix("s", "n").alias("m"))
-    borders = chunks.join(matrices.groupBy("key").applyInPandas(scan, "key long, k int, entry array<double>"), ["key", "k"])
-    maps = borders.select("key", "k", entries("s", "n", "entry").alias("m"))
-    leaves = maps.groupBy("key").applyInPandas(compose, "key long, k int, leave int")
-    traced = borders.join(leaves, ["key", "k"]).select(*names, "key", "k", back("s", "n", "entry", "leave").alias("part"))
+    matrices = map_slices(chunks.select("key", "k", "a", "b", "f"), matrix, "key long, k int, m binary, leaves int", "f")
+    borders = matrices.groupBy("key").applyInPandas(scan, "key long, k int, enter int, leave int")
+    traced = map_slices(chunks.join(borders, ["key", "k"]).select(*names, "key", "k", "a", "b", "f", "enter", "leave"), back, f"{types}, key long, k int, part array<int>", "f")
     # the chunks of one text: its ids fit one row as its characters did
     whole = traced.groupBy("key").agg(*(F.first(c).alias(c) for c in names), F.sort_array(F.collect_list(F.struct("k", "part"))).alias("parts"))
     return whole.select(*names, F.flatten(F.col("parts.part")).alias("ids"))
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Adds ``text`` from ``ids``."""
+    """Adds ``text`` from ``ids`` (null for null); about DECODE_IDS ids are decoded at once."""
+    at = encoded.columns.index("ids")
+    whole = T.StructType([*encoded.schema.fields, T.StructField("text", T.StringType())])
+    schema = to_arrow_schema(whole)
 
-    @F.pandas_udf("string")
-    def of(ids: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(vocabulary)
-        return pd.Series([p.decode(x.tolist()) if x is not None else None for x in ids], dtype="object")
-
-    return encoded.withColumn("text", of("ids"))
+        for b in batches:
+            lo = 0
+            while lo < b.num_rows:
+                texts, size, hi = [], 0, lo
+                while hi < b.num_rows and size < DECODE_IDS:
+                    ids = b.column(at)[hi].as_py()
+                    texts.append(None if ids is None else p.decode(ids))
+                    size, hi = size + len(ids or ()), hi + 1
+                part = b.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(part.columns, schema, strict=False)] + [pa.array(texts, pa.string())], schema=schema)
+                lo = hi
+
+    return encoded.mapInArrow(run, whole)
 
 
 def op6_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
