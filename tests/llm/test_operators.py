@@ -263,18 +263,50 @@ def test_hamming_blocks_miss_nothing():
     assert set(zip(w.tolist(), i.tolist(), strict=True)) == {(a, b) for a, b in np.argwhere(far <= 15).tolist()}
 
 
-def test_substring_dedup(docs):
-    c, cut = Counter(), [(d, words(t)) for d, t in rows()]
+def removed(table, window=35):
+    """(doc_id, words, words removed, kept words) by counting every window."""
+    c, cut = Counter(), [(d, words(t)) for d, t in table]
     for _, w in cut:
-        c.update(tuple(w[i : i + 35]) for i in range(len(w) - 34))
-    expected = []
+        c.update(tuple(w[i : i + window]) for i in range(len(w) - window + 1))
+    out = []
     for d, w in cut:
         gone = [False] * len(w)
-        for i in range(len(w) - 34):
-            if c[tuple(w[i : i + 35])] > 1:
-                gone[i : i + 35] = [True] * 35
-        expected.append((d, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()))
-    same(substring_lz.dedup_substrings(docs).collect(), expected)
+        for i in range(len(w) - window + 1):
+            if c[tuple(w[i : i + window])] > 1:
+                gone[i : i + window] = [True] * window
+        out.append((d, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    return out
+
+
+def hashed_rows(expected):
+    return [(*r, hashlib.sha256(k.encode()).hexdigest()) for *r, k in expected]
+
+
+def test_substring_dedup(spark, docs, monkeypatch):
+    same(substring_lz.dedup_substrings(docs).collect(), hashed_rows(removed(rows())))
+    kept = substring_lz.remove_duplicate_spans(docs)
+    same([tuple(r) for r in kept.collect()], [(d, k) for d, *_, k in removed(rows())])
+    r = Random(7)
+    passage = [f"p{r.randint(0, 5000)}" for _ in range(60)]
+    table = []
+    for i in range(200):  # a passage in ever new surroundings, cut off anywhere; ids null or repeated
+        a, b = sorted(r.sample(range(61), 2)) if r.random() < 0.5 else (0, 60)
+        own = lambda: [f"o{r.randint(0, 10**6)}" for _ in range(r.randint(0, 25))]
+        table.append((r.choice([None, 1, i]), " ".join([*own(), *passage[a:b], *own()])))
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(5)
+    for hottest in (20, 1):  # some keys are hot, or none; above all are
+        monkeypatch.setattr(substring_lz, "HOTTEST", hottest)
+        same(substring_lz.dedup_substrings(df).collect(), hashed_rows(removed(table)))
+
+
+def test_substring_dedup_of_null_ids_and_equal_rows(spark):
+    """10,000 different texts without an id stay whole; 20,000 equal rows lose all words, in time linear in the rows."""
+    r = Random(8)
+    table = [(None, " ".join(f"n{i}x{k}" for k in range(36))) for i in range(10_000)]
+    text = " ".join(f"w{r.randint(0, 10**6)}" for _ in range(120))
+    df = spark.createDataFrame(table, "doc_id long, text string").unionByName(spark.range(20_000).selectExpr("cast(null as long) doc_id", f"'{text}' text")).repartition(4)
+    got = substring_lz.dedup_substrings(df).groupBy("n_words", "n_removed").count().collect()
+    assert sorted(tuple(x) for x in got) == [(36, 0, 10_000), (120, 120, 20_000)]
 
 
 def test_pieces(spark, docs, monkeypatch):

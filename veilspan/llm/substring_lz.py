@@ -9,9 +9,11 @@ phrase that the reference holds a second time is a copy whole, and where phrases
 windows of one phrase of each kind are compared one by one, so borders are exact. Every window is covered,
 and what occurs twice is removed.
 
-Per word only a fifteenth of a row is shuffled: phrases whose anchor occurs once end there. Phrases are
-counted before the shuffle, and joins on hot anchors are split by adaptive execution. Hashes: 64 bits of
-anchor with 64 bits of phrase or window.
+Per word only a fifteenth of a row is shuffled: phrases whose anchor occurs once end there. Texts are told apart
+by 128 bits of hash, never by their ids, since equal texts have equal results. Counts are made before the shuffle;
+keys (anchors, phrases, texts) with more than a HOTTEST-th of all rows, so at most HOTTEST of them, are broadcast
+and looked up where the rows are, or split into SALTS parts, so that no task holds a hot key. Hashes: 64 bits
+of anchor with 64 bits of phrase, 128 of a window.
 
 Edge cases: a null text has no words (kept_sha256 is that of the empty text); texts shorter than a window
 are kept whole; a null id is an id like any other; repeated rows, of one id too, are copies of one another;
@@ -27,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_slices, stash, table
+from .common import discard, map_slices, stash, table
 
 WINDOW = 35
 GRAM = 8
@@ -35,6 +37,9 @@ GRAM = 8
 STRETCH = 1 << 21
 BASE = 0x9E3779B97F4A7C15 | 1
 GRAM_BASE = 0xD6E8FEB86659FD93 | 1
+#: A key with more than this share of all rows is hot; a hot text's rows are split into SALTS parts.
+HOTTEST = 2000
+SALTS = 64
 
 
 class Words(dict):
@@ -131,57 +136,70 @@ def joined(batch: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([p for p, _, _ in batch]), np.repeat([d for _, d, _ in batch], lengths), np.repeat(np.array([lo for _, _, lo in batch]) - offsets, lengths)
 
 
-PHRASES = "doc_id long, at long, anchor long, phrase long"
+TEXT = ["k1", "k2"]
+PHRASES = "k1 long, k2 long, at long, anchor long, phrase long"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null as empty) and 128 bits of its hash (k1, k2)."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"))
 
 
 def parse(docs: DataFrame, window: int) -> DataFrame:
-    """PHRASES of all documents; ``at`` packs 24 bits of the text's hash, 32 of the start and 8 of the windows."""
+    """PHRASES of all documents (keyed); ``at`` packs 8 bits of the number of windows below the first one's start."""
     if not GRAM <= window < GRAM + 255:
         raise ValueError("a window has 8 to 262 words")
 
-    def run(part: dict) -> dict:
-        from xxhash import xxh64_intdigest
-
-        mark = np.array([xxh64_intdigest(t, 42) & 0xFFFFFF for t in part["text"]], np.int64)
-        out: dict[str, list] = {"row": [], "at": [], "anchor": [], "phrase": []}
+    def run(part: dict) -> dict | None:
+        k1, k2 = np.array(part["k1"], np.int64), np.array(part["k2"], np.int64)
+        out: dict[str, list] = {"k1": [], "k2": [], "at": [], "anchor": [], "phrase": []}
         for words, doc, shift in stretches(part["text"], window):
             first, count, anchor, phrase = phrases(words, doc, window)
             d = doc[first]
-            out["row"].append(d)
-            out["at"].append(mark[d] << 40 | (first + shift[first]) << 8 | count)
-            out["anchor"].append(anchor.view(np.int64))
-            out["phrase"].append(phrase.view(np.int64))
-        if not out["row"]:
-            return None
-        ids = part["doc_id"]
-        return {"doc_id": [ids[d] for d in np.concatenate(out.pop("row"))]} | {k: np.concatenate(v) for k, v in out.items()}
-
-    return map_slices(docs.select("doc_id", "text"), run, PHRASES)
-
-
-def text_mark(text):
-    return F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(0xFFFFFF)
-
-
-def with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """Documents (doc_id, text) with ``list`` of their (doc_id, mark)."""
-    marked = docs.select("doc_id", "text", text_mark(docs["text"]).alias("mark"))
-    other = lists.select(F.col("doc_id").alias("id"), F.col("mark").alias("m"), "list")
-    return marked.join(other, marked["doc_id"].eqNullSafe(other["id"]) & (marked["mark"] == other["m"]), how).select("doc_id", "text", "mark", "list")
-
-
-def duplicate_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, mark, list of (start << 8 | windows): runs of window starts whose windows all occur elsewhere."""
-    found = parse(docs, window)
-    often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    kept = stash(found.join(often, "anchor", "left_semi"), "phrases")
-    kinds = stash(kept.groupBy("anchor", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("one")), "kinds")
-    copied = kept.join(kinds.where("n > 1").select("anchor", "phrase"), ["anchor", "phrase"], "left_semi").select("doc_id", "at")
-    # factors end inside phrases whose anchor has other phrases: one phrase of each kind goes by its windows
-    mixed_anchor = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("anchor")
-    open_ = kinds.join(mixed_anchor, "anchor", "left_semi").select("one.doc_id", "one.at", F.least("n", F.lit(2)).alias("n"))
-    mark, place = F.shiftrightunsigned("at", 40), F.col("at").bitwiseAND((1 << 40) - 1)
-    lists = open_.select("doc_id", mark.alias("mark"), (place * 4 + F.col("n")).alias("x")).groupBy("doc_id", "mark").agg(F.collect_list("x").alias("list"))
+            for c, v in (("k1", k1[d]), ("k2", k2[d]), ("at", (first + shift[first]) << 8 | count), ("anchor", anchor.view(np.int64)), ("phrase", phrase.view(np.int64))):
+                out[c].append(v)
+        return {k: np.concatenate(v) for k, v in out.items()} if out["at"] else None
+
+    return map_slices(docs.select("k1", "k2", "text"), run, PHRASES)
+
+
+def hot_keys(counts: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """The ``keys`` of ``counts`` (with n, rows of each) that more than total / HOTTEST rows share: at most HOTTEST, broadcast."""
+    return F.broadcast(counts.where(F.col("n") > total / HOTTEST).select(*keys, F.lit(True).alias("hot")))
+
+
+def having(rows: DataFrame, keys: list[str], wanted: DataFrame, hot: DataFrame) -> DataFrame:
+    """The rows whose keys are among ``wanted``; ``hot`` keys (of wanted and others) are looked up without a shuffle."""
+    names = rows.columns
+    marked = rows.join(hot, keys, "left")
+    hot_wanted = F.broadcast(hot.join(wanted.select(*keys), keys, "left_semi").select(*keys))
+    there = marked.where("hot").join(hot_wanted, keys, "left_semi")
+    return there.select(*names).unionByName(marked.where("hot is null").join(wanted.select(*keys), keys, "left_semi").select(*names))
+
+
+def with_lists(docs: DataFrame, lists: DataFrame, hot: DataFrame, how: str) -> DataFrame:
+    """Keyed documents with ``list`` of their text; the rows of a hot text are split, each part with a copy of its list."""
+    salt = F.when(F.col("hot"), F.floor(F.rand(7) * SALTS).cast("int")).otherwise(0)
+    rows = docs.join(hot, TEXT, "left").withColumn("salt", salt).drop("hot")
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return rows.join(lists.join(hot, TEXT, "left").withColumn("salt", F.explode(salts)).drop("hot"), [*TEXT, "salt"], how).drop("salt")
+
+
+def duplicate_spans(docs: DataFrame, hot_texts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """k1, k2, list of (start << 8 | windows): runs of window starts whose windows all occur elsewhere. ``docs`` are keyed."""
+    found = stash(parse(docs, window), "found")
+    often = stash(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
+    total = found.count()
+    kept = stash(having(found, ["anchor"], often, hot_keys(often, ["anchor"], total)), "phrases")
+    discard(found)
+    # one phrase of each kind stands for all, in a text of its own
+    kinds = stash(kept.groupBy("anchor", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("one")), "kinds")
+    copied = having(kept, ["anchor", "phrase"], kinds.where("n > 1"), hot_keys(kinds, ["anchor", "phrase"], total)).select("k1", "k2", F.col("at").alias("x"))
+    # a phrase's borders may lie inside others of its anchor: one phrase of each kind goes by its windows
+    anchors = stash(kinds.groupBy("anchor").agg(F.count("*").alias("n"), F.min("n").alias("least")).where("n > 1 and least = 1"), "mixed")
+    open_ = having(kinds, ["anchor"], anchors, hot_keys(anchors, ["anchor"], total)).select("one.*", F.least("n", F.lit(2)).alias("times"))
+    lists = stash(open_.groupBy("k1", "k2").agg(F.collect_set(F.col("at") * 4 + F.col("times")).alias("list")), "open")
 
     def windows(part: dict) -> dict | None:
         out: dict[str, list] = {"row": [], "at": [], "n": [], "hash": [], "hash2": []}
@@ -206,15 +224,16 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     out["hash2"].append(Hashed(mixed(part_w)).of(s, s + window).view(np.int64))
         if not out["row"]:
             return None
-        ids, marks = part["doc_id"], part["mark"]
         rows = np.concatenate(out.pop("row"))
-        return {"doc_id": [ids[r] for r in rows], "mark": [marks[r] for r in rows]} | {k: np.concatenate(v) for k, v in out.items()}
+        return {c: np.array(part[c], np.int64)[rows] for c in TEXT} | {k: np.concatenate(v) for k, v in out.items()}
 
-    single = stash(map_slices(with_lists(docs, lists, "inner"), windows, "doc_id long, mark long, at long, n int, hash long, hash2 long"), "windows")
-    twice = single.groupBy("hash", "hash2").agg(F.sum("n").alias("times")).where("times > 1").select("hash", "hash2")
-    borders = single.where("n = 1").join(twice, ["hash", "hash2"], "left_semi").select("doc_id", "mark", (F.col("at") * 256 + 1).alias("x"))
-    spans = copied.select("doc_id", mark.alias("mark"), place.alias("x")).unionByName(borders)
-    return spans.groupBy("doc_id", "mark").agg(F.collect_list("x").alias("list"))
+    # a text is read once, however many rows have it; a phrase that occurs once is in one row only
+    once = docs.join(hot_texts, TEXT, "left")
+    once = once.where("hot is null").select(*TEXT, "text").unionByName(once.where("hot").select(*TEXT, "text").dropDuplicates(TEXT))
+    single = stash(map_slices(once.join(lists, TEXT), windows, "k1 long, k2 long, at long, n int, hash long, hash2 long"), "windows")
+    twice = stash(single.groupBy("hash", "hash2").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("rows")).where("n > 1"), "twice")
+    borders = having(single.where("n = 1"), ["hash", "hash2"], twice, hot_keys(twice.withColumn("n", F.col("rows")), ["hash", "hash2"], total)).select("k1", "k2", (F.col("at") * 256 + 1).alias("x"))
+    return stash(copied.unionByName(borders).groupBy("k1", "k2").agg(F.collect_set("x").alias("list")), "spans")
 
 
 def covered(n: int, items: list[int] | None, window: int) -> np.ndarray:
@@ -230,6 +249,13 @@ def covered(n: int, items: list[int] | None, window: int) -> np.ndarray:
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
+def _with_spans(docs: DataFrame, window: int) -> DataFrame:
+    docs = keyed(docs)
+    copies = stash(docs.groupBy(*TEXT).agg(F.count("*").alias("n")), "texts")
+    hot = hot_keys(copies, TEXT, copies.agg(F.sum("n")).first()[0] or 0)
+    return with_lists(docs, duplicate_spans(docs, hot, window), hot, "left")
+
+
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """A row of SCHEMA per row of ``docs``."""
 
@@ -242,7 +268,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             rows.append((doc_id, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest()))
         return dict(zip(("doc_id", "n_words", "n_removed", "kept_sha256"), zip(*rows, strict=True), strict=True))
 
-    return map_slices(with_lists(docs, duplicate_spans(docs, window), "left"), run, SCHEMA)
+    return map_slices(_with_spans(docs, window).select("doc_id", "text", "list"), run, SCHEMA)
 
 
 def remove_duplicate_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -255,7 +281,7 @@ def remove_duplicate_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             texts.append(b" ".join([w for w, g in zip(words, covered(len(words), items, window).tolist(), strict=True) if not g]).decode())
         return {"doc_id": part["doc_id"], "text": texts}
 
-    return map_slices(with_lists(docs, duplicate_spans(docs, window), "left"), run, "doc_id long, text string")
+    return map_slices(_with_spans(docs, window).select("doc_id", "text", "list"), run, "doc_id long, text string")
 
 
 def op5_lz_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
