@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -38,7 +39,8 @@ CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]",
 ROLES = {"user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
 ESC = "␛"
 PART_TOKENS = 1 << 16
-#: Characters encoded at once: a longer text is cut before this many at a space, else exactly there.
+PIECE = regex.compile(PIECES)
+#: Characters encoded at once, and what is left of the piece they end in.
 ENCODE_CHARS = 1 << 16
 ESCAPE = re.compile("(" + "|".join(f"{re.escape(c[0])}(?={ESC}*{re.escape(c[1:])})" for c in CONTROLS) + ")")
 UNESCAPE = re.compile("(" + "|".join(f"{re.escape(c[0])}(?={ESC}+{re.escape(c[1:])})" for c in CONTROLS) + f"){ESC}")
@@ -63,17 +65,16 @@ def encoder(path: str):
 
 
 def encode(text: str, bpe) -> list[int]:
+    """Ids of the whole text, cut only where two pieces meet."""
     if len(text) <= ENCODE_CHARS:
         return bpe.encode_ordinary(text)
     ids: list[int] = []
     at = 0
-    while at < len(text):
-        end = at + ENCODE_CHARS
-        if end < len(text) and (cut := text.rfind(" ", at + 1, end)) > 0:
-            end = cut
-        ids += bpe.encode_ordinary(text[at:end])
-        at = end
-    return ids
+    for m in PIECE.finditer(text):
+        if m.end() - at >= ENCODE_CHARS:
+            ids += bpe.encode_ordinary(text[at : m.end()])
+            at = m.end()
+    return ids + bpe.encode_ordinary(text[at:])
 
 
 def encoded_turns(turns: DataFrame, vocabulary: str) -> DataFrame:
@@ -216,10 +217,10 @@ def read_back(formatted: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 def op7_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
-    return read_back(format_chats(turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(probe)))
+    turns = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(probe)
+    return read_back(format_chats(turns)).drop("n_tokens")
 
 
-_MARKS = "case role when 'user' then 13 when 'assistant' then 7 when 'system' then 15 else 19 + length(regexp_replace(coalesce(role, ''), '{p}', '\\1{e}', 'g')) end"
 _PATTERN = "|".join(f"{re.escape(c[0])}{ESC}*{re.escape(c[1:])}" for c in CONTROLS)
 #: Every control string in a text gains one character; no control string starts inside another.
 SQL7 = f"""
@@ -228,8 +229,7 @@ with t as (
   union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), f as (
   select *, length(text) + len(regexp_extract_all(text, '{_PATTERN}'))
-    + case role when 'user' then 13 when 'assistant' then 7 when 'system' then 15 else 19 + length(role) + len(regexp_extract_all(role, '{_PATTERN}')) end as chars,
-    md5(text) as tie from t
+    + case role when 'user' then 13 when 'assistant' then 7 when 'system' then 15 else 19 + length(role) + len(regexp_extract_all(role, '{_PATTERN}')) end as chars from t
 )
 select conv_id, count(*) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,

@@ -68,6 +68,49 @@ def map_slices(df: DataFrame, fn: Callable[[dict], dict | None], schema: str, te
     return df.mapInArrow(run, schema)
 
 
+def row_slices(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Slices of a batch with the bytes of its column ``at`` (null as None), at most SLICE_BYTES each (one row at least)."""
+    column, lo = batch.column(at), 0
+    column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+    while lo < batch.num_rows:
+        texts, size = [], 0
+        while lo + len(texts) < batch.num_rows and (not texts or size < SLICE_BYTES):
+            texts.append(column[lo + len(texts)].as_py())
+            size += len(texts[-1] or b"")
+        yield batch.slice(lo, len(texts)), texts
+        lo += len(texts)
+
+
+def kept_rows(df: DataFrame, fn: Callable[[list[bytes]], list[bool]], text: str = "text") -> DataFrame:
+    """The rows, all columns as they are, for whose texts (null as b"") ``fn`` is true."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in row_slices(batch, at):
+                yield part.filter(pa.array(fn([t or b"" for t in texts]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def changed_texts(df: DataFrame, fn: Callable[[str], str], text: str = "text") -> DataFrame:
+    """The rows with ``fn`` of their texts; a null text stays null, other columns are as they are."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in row_slices(batch, at):
+                new = pa.array([None if t is None else fn(t.decode()) for t in texts], part.schema.field(at).type)
+                yield part.set_column(at, part.schema.field(at), new)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def own_name(word: str) -> str:
+    """A column name that no table has."""
+    return f"_{word}_{uuid.uuid4().hex}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. Only a local session may do without it."""
     sc = spark.sparkContext

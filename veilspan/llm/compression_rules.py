@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import SPACE, map_slices, table
 
 SYMBOLS = b"#*$%&|<>"
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, n_chunks long, n_bad_chunks long, kept boolean"
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, n_chunks long, n_bad_chunks long"
 
 
 @dataclass(frozen=True)
@@ -84,7 +84,7 @@ def measure(text: bytes, bands: Bands, zstd) -> tuple:
         ratios = [len(zstd.compress(text[i : i + step])) / step for i in starts]
         n_chunks, bad = len(ratios), sum(not bands.chunk[0] <= r <= bands.chunk[1] for r in ratios)
     kept = not failed and low <= ratio <= high and bad <= bands.bad_share * n_chunks
-    return n, chars, size - len(text.translate(None, SYMBOLS)), dup_lines(text), repeats, failed, ratio, n_chunks, bad, kept
+    return n, chars, size - len(text.translate(None, SYMBOLS)), dup_lines(text), repeats, failed, kept, ratio, n_chunks, bad
 
 
 def compression_rules(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:

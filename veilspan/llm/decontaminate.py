@@ -10,8 +10,9 @@ reaches the threshold has fewer. Candidates are verified exactly: the share of t
 repeats, that the window has must reach ``threshold`` (0.8). Windows that share no shingle with any item cannot
 reach it and are passed over before fingerprints are taken.
 
-The benchmark is a query set: it is taken in blocks of ITEMS items, each scanned against all documents and
-broadcast alone, so what is broadcast is bounded. Long documents are taken in overlapping stretches. Edge
+The benchmark is a query set: it is taken in blocks of ITEMS items, each broadcast alone, so what is broadcast is
+bounded. With more than one block the documents are scanned once, through a sieve of all items' shingles, and the
+blocks read only the documents that pass it. Long documents are taken in overlapping stretches. Edge
 cases: null and empty texts and items have no words and match nothing; an item or text of fewer than five
 words has one shingle, its whole sequence; a text shorter than an item is one window; items with equal ids
 or texts are kept apart by text; repeated rows give repeated results; empty tables give an empty result. Only
@@ -29,13 +30,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_slices, table, text_hash
+from .common import map_slices, own_name, stash, table, text_hash
 
 WIDTH = 5
 RADIUS = 15
 BLOCK_BITS = 16
 THRESHOLD = 0.8
 ITEMS = 2048
+#: Bits of the sieve of all items' shingles, at most (64 MB).
+SIEVE_BITS = 1 << 29
 #: Positions of a document looked at at once.
 STRETCH = 1 << 16
 WORDS = re.compile(r"[^\W_]+")
@@ -222,10 +225,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text").distinct()
     blocks = max(1, -(-items.count() // ITEMS))
-    out = None
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        held = spark.sparkContext.broadcast(tuple((r[0], r[1]) for r in part))  # about ITEMS items
+    parts = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text") for b in range(blocks)]
+    docs, out = docs.select(key, "text"), None
+    if blocks > 1:
+        docs = candidates(docs, items, parts, threshold, f"{key} {key_type}, text string")
+    for part in parts:
+        held = spark.sparkContext.broadcast(tuple((r[0], r[1]) for r in part.collect()))  # about ITEMS items
 
         def run(batch: dict, held=held) -> dict:
             index, known = index_of(held.value), _KNOWN
@@ -236,19 +241,55 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
                     rows += [(doc_id, index.ids[j], start, sim) for j, (sim, start) in sorted(index.search(len(words), shingles(words), threshold).items())]
             return dict(zip((key, "item_id", "start_word", "similarity"), zip(*rows, strict=True), strict=True)) if rows else None
 
-        found = map_slices(docs.select(key, "text"), run, SCHEMA.replace("doc_id long", f"{key} {key_type}"))
+        found = map_slices(docs, run, SCHEMA.replace("doc_id long", f"{key} {key_type}"))
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def sieve_place(h: np.ndarray, size: int) -> np.ndarray:
+    """Two bit positions of each shingle in a sieve of ``size`` bits."""
+    return np.concatenate([h >> np.uint64(64 - size.bit_length() + 1), mixed(h) >> np.uint64(64 - size.bit_length() + 1)]).astype(np.int64)
+
+
+def candidates(docs: DataFrame, items: DataFrame, parts: list[DataFrame], threshold: float, schema: str) -> DataFrame:
+    """The documents with enough shingles of any items, by a sieve of all items' shingles: later scans read these alone.
+
+    The sieve has two bits set for each shingle and at most SIEVE_BITS; where it is full it lets more documents
+    pass, never fewer.
+    """
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    size = 1 << min(SIEVE_BITS.bit_length() - 1, max(20, int(chars * 4).bit_length()))
+    bits_, least, known = np.zeros(size // 8, np.uint8), 1 << 62, WordHashes()
+    for part in parts:
+        for row in part.collect():  # about ITEMS items
+            h = shingles(word_hashes(row["text"] or "", known))
+            if len(h):
+                least = min(least, max(1, int(np.ceil(threshold * len(h) - 1e-9))))
+                at = sieve_place(h, size)
+                np.bitwise_or.at(bits_, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    held = docs.sparkSession.sparkContext.broadcast(bits_)
+
+    def keep(batch: dict) -> dict:
+        passed = []
+        for text in batch["text"]:
+            h = shingles(word_hashes(text.decode(), _KNOWN))
+            at = sieve_place(h, size)
+            there = (held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).reshape(2, -1).all(0) if len(h) else np.zeros(0, bool)
+            passed.append(int(there.sum()) >= least)
+        return {c: [(x.decode() if c == "text" else x) for x, p in zip(v, passed, strict=True) if p] for c, v in batch.items()}
+
+    return stash(map_slices(docs, keep, schema), "candidates")
+
+
 _KNOWN = WordHashes()
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item; the text alone decides, whatever the ids."""
+    name = own_name("bad")
     keyed = docs.select(text_hash().alias("text_hash"), "text")
-    bad = contaminated(keyed, benchmark, threshold, "text_hash", "string").select(F.col("text_hash").alias("bad_hash")).distinct()
-    return docs.join(bad, text_hash() == F.col("bad_hash"), "left_anti")
+    bad = contaminated(keyed, benchmark, threshold, "text_hash", "string").select(F.col("text_hash").alias(name)).distinct()
+    return docs.join(bad, text_hash() == F.col(name), "left_anti")
 
 
 def op4_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

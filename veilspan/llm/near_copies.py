@@ -4,8 +4,9 @@ MinHash bands only propose: BANDS bands of ROWS minima find a pair at 0.8 with p
 all but 7 in 10 million). Texts that share a band form coarse components; inside each, similarities are computed exactly
 from the shingle sets, so no pair below the threshold is linked. A component above TILE_SHINGLES shingles is
 cut into tiles by hash, and each pair of tiles is one group, so no task holds more than two tiles at once.
-SimHash bands would not do: at 0.8 two fingerprints are expected to differ in about 10 of 64 bits (a cosine of
-0.89), and often in more, too wide a radius for block keys.
+SimHash blocks cannot propose: at 0.8 two fingerprints are expected to differ in about 10 of 64 bits (a cosine of
+0.89), and often in more, too wide a radius for block keys. Inside a group they decide which sets are compared:
+the bit-sliced counters of ``simhash`` drop all beyond RADIUS bits, five standard deviations past the mean at 0.8.
 
 Words are lower-cased (ASCII) runs without white space; a text of fewer than five words has one shingle. Equal
 shingle sets collapse first. Null and wordless texts are one group; an empty table gives an empty result.
@@ -26,6 +27,7 @@ from .decontaminate import WordHashes, shingles
 
 SIMILARITY = 0.8
 BANDS, ROWS = 30, 6
+RADIUS = 24
 TILE_SHINGLES = 1 << 20
 _RANDOM = np.random.default_rng(7)
 TIMES = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -52,26 +54,39 @@ def bands_of(grams: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def fingerprints_of(sets: list[np.ndarray]) -> np.ndarray:
+    """SimHash of each set of shingle hashes."""
+    out = np.zeros(len(sets), np.uint64)
+    for i, s in enumerate(sets):
+        ones = np.unpackbits(s.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[i] = np.packbits(ones * 2 > len(s), bitorder="little").view(np.uint64)[0]
+    return out
+
+
 def similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Links that connect all pairs of ``sets`` at ``similarity`` or more."""
+    from .simhash import planes_of, within
+
     n = len(sets)
     sizes = np.fromiter(map(len, sets), np.int64, n)
-    owner, gram = np.repeat(np.arange(n), sizes), np.concatenate(sets)
+    fps, words = fingerprints_of(sets), np.arange(-(-n // 64))
+    planes = planes_of(fps, np.arange(n) // 64, np.arange(n) % 64, len(words))
     root, out = np.arange(n), []
     for p in range(n):
         apart = root != root[p]  # those already joined need no comparison
         apart &= (sizes >= similarity * sizes[p] - 1e-9) & (sizes * similarity - 1e-9 <= sizes[p])
         if not apart.any():
             continue
-        some = np.flatnonzero(apart)
-        at = np.concatenate([np.arange(lo, lo + k) for lo, k in zip((np.cumsum(sizes) - sizes)[some], sizes[some], strict=True)])
-        near = np.searchsorted(sets[p], gram[at])
-        near[near == sizes[p]] = 0
-        both = np.bincount(owner[at][sets[p][near] == gram[at]], minlength=n)
-        for q in some[both[some] >= similarity * (sizes[p] + sizes[some] - both[some]) - 1e-9]:
+        near = within(planes, np.full(len(words), fps[p]), words, RADIUS)
+        apart &= np.unpackbits(near.view(np.uint8), bitorder="little")[:n].astype(bool)
+        for q in np.flatnonzero(apart).tolist():
             if root[q] != root[p]:
-                out.append((p, int(q)))
-                root[root == root[q]] = root[p]
+                at = np.searchsorted(sets[p], sets[q])
+                at[at == sizes[p]] = 0
+                both = int((sets[p][at] == sets[q]).sum()) if sizes[p] else 0
+                if both >= similarity * (sizes[p] + sizes[q] - both) - 1e-9:
+                    out.append((p, q))
+                    root[root == root[q]] = root[p]
     return out
 
 
@@ -84,7 +99,8 @@ def exact_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterato
     now, sigs, sets = None, [], []
     for batch in batches:
         out = []
-        for g, sig, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for i in range(batch.num_rows):  # one at a time: a batch may hold many long texts
+            g, sig, grams = (c[i].as_py() for c in batch.columns)
             if g != now:
                 out += of(sigs, sets)
                 now, sigs, sets = g, [], []

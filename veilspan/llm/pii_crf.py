@@ -27,9 +27,8 @@ from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import map_slices, table
+from .common import changed_texts, map_slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 20
@@ -335,27 +334,18 @@ def redact_pii(docs: DataFrame, crf: SemiCrf | None = None) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in angle brackets; a null text stays null."""
     held = docs.sparkSession.sparkContext.broadcast((crf or trained()).w)
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        import pandas as pd
-
+    def clean(text: str) -> str:
         own = SemiCrf()
         own.w = held.value
-
-        def one(text: str | None) -> str | None:
-            if not text:
-                return text
-            out, at = [], 0
-            for a, b, k in all_spans(text, own)[1]:
-                if b > at:  # overlapping spans of several kinds go as one
-                    if a >= at:
-                        out += [text[at:a], f"<{KINDS[k].upper()}>"]
-                    at = b
-            return "".join([*out, text[at:]])
-
-        return pd.Series([one(t) for t in texts], dtype="object")
-
-    return docs.withColumn("text", clean("text"))
+        out, at = [], 0
+        for a, b, k in all_spans(text, own)[1]:
+            if b > at:  # overlapping spans of several kinds go as one
+                if a >= at:
+                    out += [text[at:a], f"<{KINDS[k].upper()}>"]
+                at = b
+        return "".join([*out, text[at:]])
+
+    return changed_texts(docs, clean)
 
 
 def op3_semi_markov_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, map_slices, table
+from .common import crc32_of_id, kept_rows, map_slices, table
 
 SCHEMA = "doc_id long, score double"
 THRESHOLD = 0.3
@@ -156,14 +156,11 @@ def keep_good(docs: DataFrame, model: Machine, threshold: float = THRESHOLD) ->
     """The rows of ``docs``, all columns, whose text scores at least ``threshold``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def of(texts):
-        import pandas as pd
-
+    def good(texts: list[bytes]) -> list[bool]:
         m = held.value
-        return pd.Series(np.concatenate([m.score([features(t.encode() if t else b"", m.p)]) for t in texts]) if len(texts) else [], dtype="float64")
+        return m.score([features(t, m.p) for t in texts]) >= threshold
 
-    return docs.where(of(docs["text"]) >= threshold)
+    return kept_rows(docs, good)
 
 
 def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import map_slices, stash, table, text_hash
+from .common import map_slices, own_name, stash, table, text_hash
 from .components import components
 
 RADIUS = 3
@@ -71,26 +71,25 @@ def planes_of(fps: np.ndarray, word: np.ndarray, lane: np.ndarray, n_words: int)
     return out
 
 
-def within(planes: np.ndarray, query: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """For each (query fingerprint, word): the lanes at distance RADIUS or less, as bits.
+def within(planes: np.ndarray, query: np.ndarray, word: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """For each (query fingerprint, word): the lanes at distance ``radius`` or less, as bits.
 
-    Two bits of carry-save counters hold distances up to 3; a carry out of them marks the lane as beyond.
+    Carry-save counters start so that a carry out of the highest marks a lane as beyond the radius.
     """
-    assert RADIUS == 3
-    result = np.zeros(len(query), np.uint64)
-    live = np.arange(len(query))
-    ones, twos, over = (np.zeros(len(query), np.uint64) for _ in range(3))
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    width, full = max(1, radius.bit_length()), np.uint64(0xFFFFFFFFFFFFFFFF)
+    lead = (1 << width) - 1 - radius
+    counters = [np.full(len(query), full if lead >> k & 1 else 0, np.uint64) for k in range(width)]
+    result, live, over = np.zeros(len(query), np.uint64), np.arange(len(query)), np.zeros(len(query), np.uint64)
     for p in range(64):
-        differs = planes[p][word] ^ (np.uint64(0) - ((query >> np.uint64(p)) & np.uint64(1)))
-        carry = ones & differs
-        ones ^= differs
-        over |= twos & carry
-        twos ^= carry
+        carry = planes[p][word] ^ (np.uint64(0) - ((query >> np.uint64(p)) & np.uint64(1)))
+        for k in range(width):
+            counters[k], carry = counters[k] ^ carry, counters[k] & carry
+        over |= carry
         if p % 8 == 7 and p < 63:  # abandon words that no lane can come back from
             keep = over != full
             if not keep.all():
-                live, query, word, ones, twos, over = (x[keep] for x in (live, query, word, ones, twos, over))
+                live, query, word, over = (x[keep] for x in (live, query, word, over))
+                counters = [c[keep] for c in counters]
     result[live] = ~over
     return result
 
@@ -210,10 +209,11 @@ def drop_near_duplicates(docs: DataFrame, similarity: float | None = None) -> Da
     else:
         groups = near_copies.groups(docs, similarity)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    keep = groups.groupBy("group").agg(first.alias("first")).select(F.col("first.doc_id").alias("keep_id"), F.col("first.text_hash").alias("keep_hash"))
-    rows = docs.withColumn("_text_hash", text_hash())
-    kept = rows.join(keep, F.col("_text_hash").eqNullSafe(F.col("keep_hash")) & rows["doc_id"].eqNullSafe(F.col("keep_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    own, keep_id, keep_hash = own_name("hash"), own_name("id"), own_name("keep")
+    keep = groups.groupBy("group").agg(first.alias("first")).select(F.col("first.doc_id").alias(keep_id), F.col("first.text_hash").alias(keep_hash))
+    rows = docs.withColumn(own, text_hash())
+    kept = rows.join(keep, (F.col(own) == F.col(keep_hash)) & rows["doc_id"].eqNullSafe(F.col(keep_id)), "left_semi")
+    return kept.dropDuplicates(["doc_id", own]).drop(own)
 
 
 def op9_simhash_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
