@@ -63,7 +63,7 @@ def test_residuals_and_review(spark):
     rows = spark.createDataFrame([(1, "bare 12345678901"), (2, "mahkeme"), (3, "a@b.com")], "id int, text string")
     got = {r["id"]: r for r in validate(redact(rows)).collect()}
     assert (got[1]["residual"], got[1]["risk"], got[1]["status"]) == (["TCKN"], "high", "review_required")
-    assert (got[2]["review_word"], got[2]["risk"], got[2]["status"], got[2]["needs_review"]) == ("mahkeme", "medium", "completed", True)
+    assert (got[2]["review_word"], got[2]["risk"], got[2]["status"], got[2]["needs_review"]) == ("mahkeme", "medium", "complete", True)
     assert not got[3]["needs_review"]
 
 

@@ -16,23 +16,47 @@ def normalise(text: Column) -> Column:
     """Deletes invisible characters, evens out spaces and quotes, and makes every line end one line feed."""
     mapped = SPACES + SINGLE_QUOTES + DOUBLE_QUOTES
     to = " " * len(SPACES) + "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES)
-    return F.regexp_replace(F.translate(text, mapped + DELETED, to), "\r\n?", "\n")
+    clean = F.regexp_replace(F.translate(text, mapped + DELETED, to), "\r\n?", "\n")
+    return F.when(text.rlike(f"[{mapped}{DELETED}\r]"), clean).otherwise(text)
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start,end,value>> of all matches; positions are code points, ends exclusive.
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also where ``body`` uses it inside lambda functions."""
+    return F.transform(F.array(value), body)[0]
+
+
+#: Lengths that are added one by one; what comes before goes by sums of whole blocks.
+_BLOCK = 128
+_MATCHES = "array<struct<start:int,end:int,value:string,before:string>>"
+#: Characters of the gap before a match that are kept with it.
+BEFORE = 40
 
-    The gaps between matches and the matches alternate, so their lengths add up to the positions.
-    """
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
-    lengths = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
 
-    def one(value: Column, i: Column) -> Column:
-        start = lengths(gaps, i + 1) + lengths(found, i)
-        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
+def quoted(x: str) -> str:
+    """A SQL string literal."""
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    none = F.slice(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("value"))), 1, 0)
-    return F.when(text.rlike(pattern), F.transform(found, one)).otherwise(none)
+
+def spans(text: str, pattern: str) -> Column:
+    """array<struct<start,end,value,before>> of all matches in the column ``text``; positions are code points, ends exclusive; before is the end of the gap to the match before.
+
+    The gaps between matches and the matches alternate, so their lengths add up to the positions: the sums of
+    blocks of lengths, then the lengths since. Work grows with the matches, but for the sums of blocks. One SQL
+    text instead of many column calls, since building those takes longer than many a query; ``transform(array(x), y
+    -> ...)[0]`` names a value that is computed once.
+    """
+    t, p, total = f"`{text}`", quoted(pattern), lambda a: f"aggregate({a}, 0, (s, x) -> s + x)"
+    at = f"get(before, cast(i div {_BLOCK} as int)) + {total(f'slice(lengths, cast(i div {_BLOCK} as int) * {_BLOCK} + 1, i % {_BLOCK} + 1)')}"
+    located = f"transform(found, (m, i) -> transform(array({at}), e -> named_struct('start', e - length(m), 'end', e, 'value', m, 'before', right(get(gaps, i), {BEFORE})))[0])"
+    for name, value in (
+        ("before", f"transform(sums, (_, b) -> {total('slice(sums, 1, b)')})"),
+        ("sums", f"transform(sequence(0, cast(floor(size(lengths) / {_BLOCK}) as int)), b -> {total(f'slice(lengths, b * {_BLOCK} + 1, {_BLOCK})')})"),
+        ("lengths", "zip_with(slice(gaps, 1, size(found)), found, (g, m) -> length(g) + length(m))"),
+        ("found", f"regexp_extract_all({t}, {quoted(f'({pattern})')}, 1)"),
+        ("gaps", f"split({t}, {p}, -1)"),
+    ):
+        located = f"transform(array({value}), {name} -> {located})[0]"
+    return F.expr(f"cast(case when {t} rlike {p} then {located} else array() end as {_MATCHES})")
 
 
 def byte_offset(text: Column, position: Column) -> Column:

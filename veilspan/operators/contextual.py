@@ -6,11 +6,15 @@ names is a parameter; the default holds frequent Turkish first names only. Null
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .detect import CANDIDATE
 
 # Words before a name.
@@ -136,8 +140,33 @@ def _idiom(text: str, c: dict) -> bool:
 
 
 _TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("entity_type", pa.string()), ("canonical", pa.string()), ("confidence", pa.float64()), ("rule_id", pa.string()), ("status", pa.string()), ("labelled", pa.bool_()), ("priority", pa.int32()), ("bonus", pa.int32())]))
-#: Texts without these hold neither names nor addresses and do not leave the JVM.
-TRIGGER = {"KISI": r"\p{Lu}[\p{L}'.]*\s+\p{Lu}", "ADRES": "(?iu)adres|ikametg|mah"}
+_FOLD = ("İIı", "iii")
+
+
+def _fold(word: str) -> str:
+    return word.translate(str.maketrans(*_FOLD)).lower()
+
+
+#: The longest literal part of each word before a name, folded.
+_SIGNS = tuple(sorted({max((_fold(x) for x in regex.split(r"\\s[+*]|\s+", w.replace(r"\.", "."))), key=len) for w in ROLES + TITLES + LABELS + SALUTATIONS}))
+_PAIR = r"\p{Lu}(?:\p{L}+|\.)\s+\p{Lu}"
+_RUN_PAIR = r"\p{Lu}\p{L}*(?:'\p{L}+)? \p{Lu}"
+#: Beyond so many first names two capitalised words are the sign of one.
+_LISTED = 400
+
+
+def signs(text: Column, kind: str, names: frozenset[str], dictionary: bool) -> Column:
+    """False for texts that surely hold no name or address; these do not leave the JVM."""
+    if kind == "ADRES":
+        return text.rlike("(?iu)adres|ikametg|mah")
+    folded = F.lower(F.translate(text, *_FOLD))
+    context = F.when(text.rlike(_PAIR), let(folded, lambda low: reduce(or_, (low.contains(w) for w in _SIGNS))))
+    listed = F.lit(False)
+    if dictionary:
+        any_i = str.maketrans({c: "[iıIİ]" for c in "iıIİ"})
+        words = "|".join(sorted(n.translate(any_i) for n in names if n.isalpha())) if len(names) <= _LISTED else r"\p{L}+"
+        listed = F.when(text.rlike(_RUN_PAIR), text.rlike(rf"(?=\p{{Lu}})(?iu:{words or '(?!)'})(?:'\p{{L}}+)? \p{{Lu}}"))
+    return F.when(context, True).otherwise(F.coalesce(listed, F.lit(False)))
 
 
 def contextual(text: Column, kinds: tuple[str, ...], names: frozenset[str] = FIRST_NAMES, dictionary: bool = True) -> Column:
@@ -159,5 +188,6 @@ def contextual(text: Column, kinds: tuple[str, ...], names: frozenset[str] = FIR
     scan = F.arrow_udf(run, CANDIDATE)
     triggered = None
     for k in kinds:
-        triggered = text.rlike(TRIGGER[k]) if triggered is None else triggered | text.rlike(TRIGGER[k])
+        sign = signs(text, k, names, dictionary)
+        triggered = sign if triggered is None else triggered | sign
     return scan.asNondeterministic()(F.when(triggered, text))

@@ -36,8 +36,8 @@ def _original(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
 _moved = _original.asNondeterministic()
 
 
-def to_original(df: DataFrame, text: str, spans: str) -> DataFrame:
-    """Moves ``spans`` to positions of the original text; only texts whose length normalisation changes go to Python."""
+def to_original(df: DataFrame, text: str, plain: str, spans: str) -> DataFrame:
+    """Moves ``spans``, found in ``plain``, to positions of the original text; only texts whose length normalisation changes go to Python."""
     df = df.withColumn("_shift", F.col(text).rlike(f"[{DELETED}]|\r\n") & (F.size(spans) > 0))
     part = F.when(F.col("_shift"), F.col(spans))
     df = df.withColumn("_at", _moved(F.when(F.col("_shift"), F.col(text)), part["start"], part["end"]))
@@ -47,4 +47,4 @@ def to_original(df: DataFrame, text: str, spans: str) -> DataFrame:
         return c.withField("start", p["start"]).withField("end", p["end"]).withField("value", value)
 
     same = F.transform(spans, lambda c: c.withField("value", F.substring(F.col(text), c["start"] + 1, c["end"] - c["start"])))
-    return df.withColumn(spans, F.when(F.col("_shift"), F.zip_with(spans, "_at", moved)).otherwise(same)).drop("_shift", "_at")
+    return df.withColumn(spans, F.when(F.col("_shift"), F.zip_with(spans, "_at", moved)).when(F.col(text) == F.col(plain), F.col(spans)).otherwise(same)).drop("_shift", "_at")

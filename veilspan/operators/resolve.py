@@ -141,7 +141,9 @@ def with_covered(df, column: str, p: Policy, text: str):
 
 
 def _overlapping(column: str) -> Column:
-    return F.exists(column, lambda c: F.exists(column, lambda o: (o["start"] < c["end"]) & (o["end"] > c["start"]) & (o != c)))
+    """Candidates are sorted by start: if any two overlap, two neighbours do."""
+    later = F.zip_with(F.col(column), F.slice(column, 2, F.greatest(F.size(column) - 1, F.lit(0))), lambda a, b: b["start"] < a["end"])
+    return F.coalesce(F.exists(later, lambda x: F.coalesce(x, F.lit(False))), F.lit(False))
 
 
 def with_resolved(df, column: str, p: Policy):

@@ -38,11 +38,16 @@ def review_word(text: Column) -> Column:
 
 
 def validate(redacted: DataFrame, text: str = "text", words: bool = True) -> DataFrame:
-    """Adds ``residual``, ``review_word``, ``status`` and ``needs_review``, and raises ``risk``."""
+    """Adds ``residual``, ``review_word``, ``status`` and ``needs_review``, raises ``risk`` and appends to ``warnings``."""
     out = redacted.withColumn("residual", residual(F.col("redacted")))
     out = out.withColumn("review_word", review_word(F.col(text)) if words else F.lit(None).cast("string"))
     leak, word = F.size("residual") > 0, F.col("review_word").isNotNull()
     asked = F.col("needs_review") if "needs_review" in redacted.columns else F.lit(False)
     risk = F.when(leak | (F.col("risk") == "high"), "high").when(word, "medium").otherwise(F.col("risk"))
-    status = F.when(leak | asked, "review_required").otherwise("completed")
+    status = F.when(leak | asked, "review_required").otherwise("complete")
+    if "warnings" in redacted.columns:
+        one = lambda code, kind, severity: F.struct(F.lit(code).alias("code"), kind.alias("entity_type"), F.lit(severity).alias("severity"))
+        left = F.transform("residual", lambda t: one("UNREDACTED_HIGH_RISK_CANDIDATE", t, "high"))
+        context = F.when(word, F.array(one("SENSITIVE_CONTEXT_KEYWORD", F.lit(None).cast("string"), "medium"))).otherwise(F.slice(F.array(one("", F.lit(None).cast("string"), "")), 1, 0))
+        out = out.withColumn("warnings", F.concat("warnings", left, context))
     return out.withColumn("risk", risk).withColumn("status", status).withColumn("needs_review", leak | word | asked)

@@ -12,7 +12,7 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         path = sc.getConf().get("spark.checkpoint.dir")
-        if not path and not sc.master.startswith("local"):
+        if not path and sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(path or tempfile.mkdtemp())
     return df.checkpoint()

@@ -27,7 +27,7 @@ def repair(df: DataFrame, source: str = "source", preserve_legal_facts: bool = F
     fits = F.forall("spans", lambda c: (c["start"] >= 0) & (c["end"] > c["start"]) & (c["end"] <= F.length(s)) & F.map_contains_key("map", c["token"]))
     clash = F.exists("spans", lambda c: F.exists("spans", lambda o: (o["start"] < c["end"]) & (o["end"] > c["start"]) & (o != c))) | (F.size(F.array_distinct("spans")) < F.size("spans"))
     whole = F.forall(F.map_values("map"), lambda v: v.isNotNull())
-    out = df.withColumn("_order", F.array_sort("spans")).withColumn("_plates", spans(normalise(s), PLATE))
+    out = df.withColumn("_order", F.array_sort("spans")).withColumn("_plain", normalise(s)).withColumn("_plates", spans("_plain", PLATE))
     sound = (F.sha2(s, 256) == F.col("hash")) & fits & ~clash & whole
     out = out.withColumn("_sound", F.coalesce(sound, F.lit(False)))
     render = lambda column: replaced(s, F.col(column), lambda c: c["token"])
@@ -37,4 +37,4 @@ def repair(df: DataFrame, source: str = "source", preserve_legal_facts: bool = F
     used = F.transform("_kept", lambda c: c["token"])
     for name, new in (("text", render("_kept")), ("map", F.map_filter("map", lambda k, v: F.array_contains(used, k))), ("types", F.map_filter("types", lambda k, v: F.array_contains(used, k))), ("spans", F.col("_kept"))):
         out = out.withColumn(name, F.when(F.col("_do"), new).otherwise(F.col(name)))
-    return out.drop("_order", "_plates", "_sound", "_kept", "_do")
+    return out.drop("_order", "_plain", "_plates", "_sound", "_kept", "_do")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import masks
 from .lineage import cut
-from .redaction import Options, replaced, resolve
+from .redaction import Options, resolve, with_replaced
 
 TOKEN = "⟦RDT:([A-Za-z0-9]+):([A-Z_]+):([0-9]+)⟧"
 LEGACY = r"^\[([A-Z_]+)_([0-9]+)\]$"
@@ -79,7 +79,7 @@ def redact_sessions(df: DataFrame, key: str, session: str, seq: str, options: Op
     out = found.join(by_doc, key, "left")
     out = out.withColumn("spans", F.zip_with("spans", F.coalesce("_index", F.array()), lambda c, i: c.withField("index", i["index"]))).drop("_index")
     token = lambda c: F.coalesce(masks.token(F.col(session), c["entity_type"], c["index"]), masks.label(c["entity_type"]))
-    out = out.withColumn("redacted", replaced(F.col(text), F.col("spans"), token)).withColumn("n_redacted", F.size("spans").cast("long"))
+    out = with_replaced(out, text, token).withColumn("n_redacted", F.size("spans").cast("long"))
     tokens = keys.select(session, masks.token(F.col(session), F.col("entity_type"), F.col("index")).alias("token"), "entity_type", "canonical", "original", "index")
     return out, tokens
 

@@ -75,7 +75,7 @@ def counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cards_luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen-digit runs and whether their checksum holds."""
-    rows = _docs(spark, sf_dir).select("doc_id", F.explode(candidates(F.col("text"), ("KREDI_KARTI",))).alias("c"))
+    rows = _docs(spark, sf_dir).select("doc_id", F.explode(candidates("text", ("KREDI_KARTI",))).alias("c"))
     rows = rows.where(F.length("c.canonical") == 16)
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_cards"), F.sum(F.when(F.col("c.status") == "valid", 1).otherwise(0)).cast("long").alias("n_valid"))
 
@@ -93,8 +93,10 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unmask_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = redact(_docs(spark, sf_dir), Options(strategy="tag"))
-    return unmask(out, token_map(out, "doc_id"), "doc_id").select("doc_id", F.sha2("unmasked", 256).alias("text_sha256"))
+    """What unmasking gives back, and how many tokens there were to put back."""
+    out = redact(_docs(spark, sf_dir), Options(strategy="tag", only=("EPOSTA",)))
+    n_tokens = F.size(F.regexp_extract_all("redacted", F.lit(r"\[EPOSTA_[0-9]+\]"), F.lit(0))).cast("long")
+    return unmask(out, token_map(out, "doc_id"), "doc_id").select("doc_id", F.sha2("unmasked", 256).alias("text_sha256"), n_tokens.alias("n_tokens"))
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +185,8 @@ def session_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions by source; what unmasking puts back, e-mail addresses in their first spelling."""
     docs = _docs(spark, sf_dir).withColumn("session", F.md5("source"))
     out, found = redact_sessions(docs, "doc_id", "session", "doc_id", Options(only=("EPOSTA",)))
-    return unmask_sessions(out, found, "doc_id", "session").select("doc_id", F.lower("unmasked").alias("unmasked"), "unsafe")
+    n_tokens = F.size(F.regexp_extract_all("redacted", F.lit("⟦RDT:"), F.lit(0))).cast("long")
+    return unmask_sessions(out, found, "doc_id", "session").select("doc_id", F.lower("unmasked").alias("unmasked"), "unsafe", n_tokens.alias("n_tokens"))
 
 
 def legal_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +238,7 @@ ORACLE_SQL = {
     "redact_asterisk": f"select doc_id, length(text) as n_chars, length(text) - length(replace(text, '*', '')) + coalesce(list_sum(list_transform(regexp_extract_all(text, '{_EMAIL}'), lambda x: length(x))), 0)::bigint as n_stars from (select doc_id, coalesce(text, '') as text from documents)",
     "cards_luhn": f"""with m as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[0-9]+')) as v from documents)
 select doc_id, count(*) as n_cards, sum(case when ({_luhn}) % 10 = 0 then 1 else 0 end)::bigint as n_valid from m where length(v) = 16 group by doc_id""",
-    "unmask_round_trip": "select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents",
+    "unmask_round_trip": f"select doc_id, sha256(coalesce(text, '')) as text_sha256, len(regexp_extract_all(coalesce(text, ''), '{_EMAIL}')) as n_tokens from documents",
     "normalised": "select doc_id, sha256(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))) as text_sha256 from documents",
     "escaped": "select page_id as doc_id, sha256(replace(replace(replace(replace(replace(coalesce(html, ''), '&', '&amp;'), '\"', '&quot;'), '''', '&#039;'), '<', '&lt;'), '>', '&gt;')) as html_sha256 from pages",
     "tckn_check": f"select o_orderkey, v as value, substr(v, 1, 1) != '0' and ((({_odd}) * 7 - ({_even})) % 10 + 10) % 10 = {_D('v', 10)} and ({_odd} + {_even} + {_D('v', 10)}) % 10 = {_D('v', 11)} as valid from (select o_orderkey, {_T} as v from orders)",
@@ -251,7 +254,7 @@ select doc_id, count(*) as n_cards, sum(case when ({_luhn}) % 10 = 0 then 1 else
     "session_tokens": f"""with m as (select md5(source) as session, doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{_EMAIL}')) as v, generate_subscripts(regexp_extract_all(coalesce(text, ''), '{_EMAIL}'), 1) as i from documents),
 c as (select session, left(v, position('@' in v)) || lower(substr(v, position('@' in v) + 1)) as canonical, arg_min(v, (doc_id, i)) as original, min((doc_id, i)) as first from m group by 1, 2)
 select session, '⟦RDT:' || session || ':EPOSTA:' || row_number() over (partition by session order by first) || '⟧' as token, original from c""",
-    "session_round_trip": "select doc_id, lower(coalesce(text, '')) as unmasked, false as unsafe from documents",
+    "session_round_trip": f"select doc_id, lower(coalesce(text, '')) as unmasked, false as unsafe, len(regexp_extract_all(coalesce(text, ''), '{_EMAIL}')) as n_tokens from documents",
     "legal_facts": "select o_orderkey, label, label = 'Tebliğ: ' as fact from orders, (select unnest(['Tebliğ: ', 'DOĞUM TARİHİ: ', 'D.T.: ']) as label)",
     "model_and_rules": "select o_orderkey, 'Hasta ' || o_orderkey || ' [SAGLIK], [EPOSTA]' as redacted, 'medium' as risk, true as needs_review, false as model_failed from orders",
     "token_collisions": "select o_orderkey, '[EPOSTA_' || (o_orderkey % 3 + 1) || '] [EPOSTA_' || (case when o_orderkey % 3 = 0 then 2 else 1 end) || '] [EPOSTA_' || (case when o_orderkey % 3 = 2 then 2 else 3 end) || ']' as redacted from orders",

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import http.client
 import json
+import math
 import re
 import ssl
 import time
 from dataclasses import dataclass
 from urllib.parse import urlsplit
 
-from ..operators.model_detector import DetectionFailed, TooLong
+from ..operators.model_detector import DetectionFailed, TooLong, chunks
 
 # Fixed value: errors of a provider that mean the request was too long.
 CONTEXT = re.compile(r"(?:context (?:window|length|size).{0,80}(?:exceed|too|full)|(?:exceed|too long|too large).{0,80}context)", re.I)
@@ -32,6 +33,99 @@ def schema(types: list[str]) -> dict:
     return {"type": "object", "additionalProperties": False, "required": ["entities"], "properties": {"entities": {"type": "array", "maxItems": 1000, "items": entity}}}
 
 
+@dataclass(frozen=True)
+class Budget:
+    """How much text a request may hold: a cautious estimate in bytes a token, since the model's tokenizer is not at hand."""
+
+    context: int = 8192
+    output: int = 2048
+    margin: float = 0.05
+    bytes_a_token: float = 2.0
+
+    def __post_init__(self):
+        if not 0 <= self.margin <= 0.5 or not 1 <= self.bytes_a_token <= 8:
+            raise ValueError("margin is 0 to 0.5, bytes_a_token 1 to 8")
+
+    def tokens(self, text: str) -> int:
+        return math.ceil(len(text.encode()) / self.bytes_a_token)
+
+    def rest(self, parts: list[str]) -> int:
+        """Tokens left beside the parts, the answer and 128 for the chat's own."""
+        return math.floor(self.context * (1 - self.margin)) - sum(map(self.tokens, parts)) - 128 - self.output
+
+    def chunk(self, prompt: str, types: list[str], most: int | None = None) -> int:
+        """Bytes of text that a request can hold; fewer than 64 are an error."""
+        room = math.floor(self.rest([prompt, _text(""), _text(schema(types))]) * self.bytes_a_token)
+        if room < 64:
+            raise DetectionFailed("the context has no room for text beside the prompt and the answer")
+        return room if most is None else min(room, most)
+
+    def fits(self, prompt: str, types: list[str], text: str) -> bool:
+        """Whether this text fits as it is written in JSON, where line ends and quotes take more."""
+        return self.rest([prompt, _text(text), _text(schema(types))]) >= 0
+
+
+def _text(x) -> str:
+    return json.dumps(x, ensure_ascii=False)
+
+
+def planned(text: str, size: int, overlap: int, fits) -> list[tuple[int, str]]:
+    """Chunks of at most ``size`` bytes, all of which fit: one that does not is halved, before anything is requested."""
+    todo, out = list(reversed(chunks(text, size, overlap))), []
+    while todo:
+        at, part = todo.pop()
+        if fits(part):
+            out.append((at, part))
+            continue
+        n = len(part.encode())
+        if n <= 128:
+            raise DetectionFailed("a text of 128 bytes does not fit")
+        todo += [(at + a, p) for a, p in reversed(chunks(part, n // 2, min(overlap, n // 8)))]
+    return out
+
+
+def thinking(settings: dict) -> bool | str | None:
+    """The wish for a model's thinking, from its four names; they must agree."""
+    flag = level = None
+    for name in ("think", "thinking", "enable_thinking", "reasoning_effort"):
+        value = settings.get(name)
+        if value is None:
+            continue
+        if not isinstance(value, bool if name == "enable_thinking" else str if name == "reasoning_effort" else bool | str) or (isinstance(value, str) and not value.strip()):
+            raise ValueError(f"bad {name}")
+        value = False if name == "reasoning_effort" and value == "none" else value
+        if isinstance(value, bool):
+            if flag not in (None, value):
+                raise ValueError("the settings of thinking contradict each other")
+            flag = value
+        else:
+            if level not in (None, value):
+                raise ValueError("the levels of thinking contradict each other")
+            level = value
+    if flag is False and level is not None:
+        raise ValueError("a level of thinking is given, but thinking is off")
+    return flag if level is None else level
+
+
+def supported(think: bool | str | None, metadata: dict) -> bool | str | None:
+    """``think`` as the model's metadata allow it; without metadata only on and off are taken on trust."""
+    if think is None:
+        return None
+    found = metadata.get("thinking")
+    if found is None:
+        if isinstance(think, bool):
+            return think
+        raise DetectionFailed("the model does not tell its levels of thinking")
+    values = found.get("values") if isinstance(found, dict) else None
+    if not isinstance(values, list) or not values:
+        raise DetectionFailed("the metadata of thinking are malformed")
+    if any(type(v) is type(think) and v == think for v in values):
+        return think
+    if think is True and isinstance(found.get("default"), str) and found["default"] in values:
+        return found["default"]
+    raise DetectionFailed("the model does not support this level of thinking")
+
+
 @dataclass(frozen=True)
 class Http:
     """``endpoint`` is http or https; ``think`` is passed on if set. ``context`` and ``output`` are in tokens."""

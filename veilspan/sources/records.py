@@ -10,6 +10,8 @@ from ..functions.text import html_escape
 from ..plans.redaction import Options, redact
 
 CUT = "\n\u0000\n"
+#: Columns that ``redact`` adds.
+ADDED = ("redacted", "spans", "candidates", "n_redacted", "applied_rules", "risk", "n_warnings", "warnings")
 #: Stands for what is nested too deeply.
 TOO_DEEP = "[MAX_DEPTH]"
 
@@ -17,10 +19,10 @@ TOO_DEEP = "[MAX_DEPTH]"
 def _clean(df: DataFrame, column: str, options: Options) -> DataFrame:
     mine = ("_text", "_redacted")
     work = df.withColumn("_text", F.col(column))
-    before = [c for c in df.columns if c in ("redacted", "spans", "candidates", "n_redacted", "risk", "n_warnings")]
+    before = [c for c in df.columns if c in ADDED]
     for c in before:
         work = work.withColumnRenamed(c, f"_kept_{c}")
-    out = redact(work, options, "_text").withColumn("_redacted", F.col("redacted")).drop("redacted", "spans", "candidates", "n_redacted", "risk", "n_warnings")
+    out = redact(work, options, "_text").withColumn("_redacted", F.col("redacted")).drop(*ADDED)
     for c in before:
         out = out.withColumnRenamed(f"_kept_{c}", c)
     return out.withColumn(column, F.col("_redacted")).drop(*mine).select(*df.columns)
