@@ -75,6 +75,20 @@ def test_hilbert_shards(docs):
     assert sorted(r["text_crc32"] for r in got) == sorted(zlib.crc32((t or "").encode()) for _, t in rows())
 
 
+def test_written_shards_hold_every_row_and_prune(spark, docs, tmp_path):
+    hilbert.write_shards(docs, f"{tmp_path}/shards")
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert back.columns == [*docs.columns, "shard_"]
+    same([tuple(x) for x in back.drop("shard_").collect()], [tuple(x) for x in docs.collect()])
+    r = Random(3)
+    many = spark.createDataFrame([(i, "x" * r.randint(1, 4000), r.choice(["en", "de", "fr", "es"]), f"s{r.randint(0, 15):02}") for i in range(4000)], "doc_id long, text string, lang string, source string")
+    hilbert.write_shards(many, f"{tmp_path}/many", 64)
+    found = spark.read.parquet(f"{tmp_path}/many").groupBy("shard").agg({"source": "min", "text": "max"}).count()
+    by = spark.read.parquet(f"{tmp_path}/many").selectExpr("shard", "source", "lang", "length(text) n").groupBy("shard").agg(*(getattr(common.F, f)(c).alias(f + c) for c in ("source", "lang", "n") for f in ("min", "max"))).collect()
+    held = lambda c, v: sum(x["min" + c] <= v <= x["max" + c] for x in by) / len(by)
+    assert found == 64 and np.mean([held("source", f"s{k:02}") for k in range(16)]) < 0.5 and np.mean([held("lang", v) for v in ("en", "de", "fr", "es")]) < 0.6 and np.mean([held("n", v) for v in range(100, 4000, 300)]) < 0.5
+
+
 def test_language_model(docs):
     c, all_ = Counter(), [(d, (t or "").encode().lower().split() + [b"\n"]) for d, t in rows()]
     for d, w in all_:
@@ -172,6 +186,35 @@ def test_pii(docs):
     assert sorted(r["text"] for r in pii_crf.redact_pii(docs).where("doc_id = 7").collect()) == ["é日本 🙂 <EMAIL> <PHONE>"]
 
 
+#: Written by hand, not by the generator: text, the personal data in it.
+SENTENCES = [
+    ("Please call (415) 555-0132 before noon, thanks.", {"phone": ["(415) 555-0132"]}),
+    ("My new number is 212-555-0187; the old one is dead.", {"phone": ["212-555-0187"]}),
+    ("Fax us at 617.555.0143 or come by.", {"phone": ["617.555.0143"]}),
+    ("From abroad dial 0049 30 90182001 and ask for Klaus.", {"phone": ["0049 30 90182001"]}),
+    ("You can write to jane.doe [at] example [dot] org any time.", {"email": ["jane.doe [at] example [dot] org"]}),
+    ("Contact: mark_smith (at) mail.example.com for the keys", {"email": ["mark_smith (at) mail.example.com"]}),
+    ("Send it to paula at example dot com please.", {"email": ["paula at example dot com"]}),
+    ("Charge visa 4111.1111.1111.1111 for both rooms.", {"card": ["4111.1111.1111.1111"]}),
+    ("The book has ISBN 978-3-16-148410-0 on its back.", {}),
+    ("On 2024-11-05 we sold 1,234,567 units of version 10.2.3.", {}),
+    ("Invoice 20240017 was paid on 05/11/2024.", {}),
+    ("Room 101, floor 12, building 7, postal code 10117.", {}),
+    ("We met at noon. Dot came later with 30 friends.", {}),
+    ("The ratio was 3.14159 to 2.71828 in all runs.", {}),
+    ("Meet me at the station, track 12, at 10:45.", {}),
+]
+
+
+def test_field_on_sentences_written_by_hand():
+    crf, hits, wanted, wrong = pii_crf.trained(), 0, 0, 0
+    for text, data in SENTENCES:
+        truth = {(text.index(v), text.index(v) + len(v), pii_crf.KINDS.index(k)) for k, vs in data.items() for v in vs}
+        got = set(pii_crf.all_spans(text, crf)[1])
+        hits, wanted, wrong = hits + len(got & truth), wanted + len(truth), wrong + len(got - truth)
+    assert hits >= 0.75 * wanted and wrong <= 2, (hits, wanted, wrong)
+
+
 def test_spans_of_long_number_lists_lie_apart():
     r = Random(12)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
@@ -380,6 +423,18 @@ def test_quality(spark, docs):
     assert quality_fm.keep_good(docs, model, 0.0).columns == docs.columns
 
 
+def test_quality_on_held_out_labels(spark):
+    base = "/root/testdata/sf0.1"
+    docs, labels = common.table(spark, base, "documents"), common.table(spark, base, "labels")
+    scored = quality_fm.score(docs, quality_fm.train(docs, labels)).join(labels.where("quality is not null"), "doc_id")
+    held = [(x["score"], x["quality"]) for x in scored.where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0").collect()]
+    good, bad = [s for s, q in held if q == 1], [s for s, q in held if q == 0]
+    assert len(good) > 20 and len(bad) > 20
+    area = np.mean([[(g > b) + 0.5 * (g == b) for b in bad] for g in good])
+    right = np.mean([(s >= quality_fm.THRESHOLD) == (q == 1) for s, q in held])
+    assert area > 0.95 and right > 0.9, (area, right)
+
+
 def test_near_duplicates(docs):
     def fingerprint(t):
         w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranked, table
+from .common import own_name, ranked, table
 
 BITS = 4
 SHARDS = 8
@@ -73,10 +73,11 @@ def curve_order(rows: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits:
     return rows.withColumn("curve", curve(*(F.col(f"cell_{d}") for d in dimensions)))
 
 
-def hilbert_shards(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> DataFrame:
-    """doc_id, the dimensions, size, text_crc32, curve, shard and slot of every row."""
+def hilbert_shards(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS, whole: str | None = None) -> DataFrame:
+    """doc_id, the dimensions, size, text_crc32, curve, shard and slot of every row; ``whole`` names a struct of all its columns."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", "source", "lang", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    row = [F.struct(*docs.columns).alias(whole)] if whole else []
+    rows = docs.select("doc_id", "source", "lang", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *row)
     order: list[Column] = [F.col("curve").asc(), F.col("text_crc32").asc(), F.col("size").asc(), F.col("doc_id").asc_nulls_first()]
     placed, n, _ = ranked(curve_order(rows, dimensions, bits), order, None, "curve")
     shard = F.floor(F.col("rank") * shards / F.lit(max(n, 1))).cast("int")
@@ -85,11 +86,14 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str,
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Writes whole documents, a directory a shard, rows of a file in curve order."""
-    placed = hilbert_shards(docs, shards).select("doc_id", F.col("text_crc32").alias("c"), "curve", "shard", "slot")
-    same = F.crc32(F.coalesce(docs["text"], F.lit("")).cast("binary"))
-    joined = docs.join(placed.dropDuplicates(["doc_id", "c"]), docs["doc_id"].eqNullSafe(placed["doc_id"]) & (same == placed["c"])).drop(placed["doc_id"]).drop("c")
-    joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Writes whole documents, every row once, a directory a shard, rows of a file in curve order.
+
+    The directories are named ``shard``, or ``shard_`` where a column has that name.
+    """
+    row, name = own_name("row"), "shard_" if "shard" in docs.columns else "shard"
+    placed = hilbert_shards(docs, shards, whole=row).select(F.col("shard").alias(name), F.col("slot").alias(f"{row}_slot"), row)
+    ordered = placed.repartitionByRange(name, f"{row}_slot").sortWithinPartitions(name, f"{row}_slot")
+    ordered.select(f"{row}.*", name).write.partitionBy(name).parquet(path)
 
 
 def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
