@@ -2,7 +2,7 @@
 
 MinHash bands only propose: BANDS bands of ROWS minima find a pair at 0.8 with probability 0.9999 (at 0.85,
 all but 7 in 10 million). Texts that share a band form coarse components; inside each, similarities are computed exactly
-from the shingle sets, so no pair below the threshold is linked. A component above TILE_SHINGLES shingles is
+from the shingle sets, so no pair below the threshold is linked. A component above TILE_SHINGLES shingles or TILE_SETS sets is
 cut into tiles by hash, and each pair of tiles is one group, so no task holds more than two tiles at once.
 SimHash blocks cannot propose: at 0.8 two fingerprints are expected to differ in about 10 of 64 bits (a cosine of
 0.89), and often in more, too wide a radius for block keys. Inside a group they decide which sets are compared:
@@ -28,7 +28,7 @@ from .decontaminate import WordHashes, shingles
 SIMILARITY = 0.8
 BANDS, ROWS = 30, 6
 RADIUS = 24
-TILE_SHINGLES = 1 << 20
+TILE_SHINGLES, TILE_SETS = 1 << 20, 1 << 12
 _RANDOM = np.random.default_rng(7)
 TIMES = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SALT = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -71,6 +71,11 @@ def similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     sizes = np.fromiter(map(len, sets), np.int64, n)
     fps, words = fingerprints_of(sets), np.arange(-(-n // 64))
     planes = planes_of(fps, np.arange(n) // 64, np.arange(n) % 64, len(words))
+    # the sets that hold each shingle, by number of the shingle
+    _, number = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = np.repeat(np.arange(n), sizes)[np.argsort(number, kind="stable")]
+    starts = np.r_[0, np.cumsum(np.bincount(number))]
+    ends = np.cumsum(sizes)
     root, out = np.arange(n), []
     for p in range(n):
         apart = root != root[p]  # those already joined need no comparison
@@ -79,14 +84,16 @@ def similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
             continue
         near = within(planes, np.full(len(words), fps[p]), words, RADIUS)
         apart &= np.unpackbits(near.view(np.uint8), bitorder="little")[:n].astype(bool)
-        for q in np.flatnonzero(apart).tolist():
-            if root[q] != root[p]:
-                at = np.searchsorted(sets[p], sets[q])
-                at[at == sizes[p]] = 0
-                both = int((sets[p][at] == sets[q]).sum()) if sizes[p] else 0
-                if both >= similarity * (sizes[p] + sizes[q] - both) - 1e-9:
-                    out.append((p, q))
-                    root[root == root[q]] = root[p]
+        if not apart.any():
+            continue
+        both = np.zeros(n, np.int64)
+        for g in number[ends[p] - sizes[p] : ends[p]].tolist():
+            both[holders[starts[g] : starts[g + 1]]] += 1  # a set holds a shingle once
+        hit = np.flatnonzero(apart & (both >= similarity * (sizes[p] + sizes - both) - 1e-9))
+        if len(hit):
+            roots, first = np.unique(root[hit], return_index=True)
+            out += [(p, int(q)) for q in hit[first]]
+            root[np.isin(root, roots)] = root[p]
     return out
 
 
@@ -134,7 +141,7 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     coarse = coarse.unionByName(coarse.select(F.col("root").alias("node"), "root").distinct())  # roots are not among the nodes
     # of each set in a coarse component one text
     member = signed.join(coarse, F.col("sig") == F.col("node")).groupBy("root", "sig").agg(F.min("text_hash").alias("text_hash"), F.first("size").alias("size"))
-    tiles = member.groupBy("root").agg(F.ceil(F.sum("size") / TILE_SHINGLES).cast("int").alias("tiles"))
+    tiles = member.groupBy("root").agg(F.greatest(F.ceil(F.sum("size") / TILE_SHINGLES), F.ceil(F.count("*") / TILE_SETS)).cast("int").alias("tiles"))
     own = member.join(tiles, "root").withColumn("t", F.pmod(F.xxhash64("sig"), F.col("tiles")))
 
     def sets_of(part: dict) -> dict:
