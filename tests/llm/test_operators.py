@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 import xxhash
 
-from veilspan.llm import chat_format, common, compression_rules, decontaminate, hilbert, maxent_lm, pieces, pii_crf, quality_fm, simhash, substring_lz
+from veilspan.llm import chat_format, common, compression_rules, decontaminate, hilbert, maxent_lm, near_copies, pieces, pii_crf, quality_fm, simhash, substring_lz
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, fp string, rank long, key long, n string"
@@ -476,10 +476,25 @@ def test_near_copies_at_jaccard(spark, docs, monkeypatch):
     table += [(90, None), (91, ""), (92, "One"), (93, "one"), (94, "two three")]
     copies = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
     ids = lambda d, s: sorted(x["doc_id"] for x in simhash.drop_near_duplicates(d, s).collect())
-    assert ids(copies, 0.8) == expected(table) and len(ids(copies, None)) > len(expected(table))
-    monkeypatch.setattr("veilspan.llm.near_copies.TILE_SHINGLES", 2000)  # many pairs of tiles
     assert ids(copies, 0.8) == expected(table)
-    assert simhash.drop_near_duplicates(docs.where("false"), 0.8).count() == 0
+    monkeypatch.setattr("veilspan.llm.near_copies.TILE_SETS", 10)  # many pairs of tiles
+    assert ids(copies, 0.8) == expected(table)
+
+
+def test_exact_links_of_sets():
+    r = Random(6)
+    base = [[r.randrange(1 << 62) for _ in range(50)] for _ in range(5)]
+    sets = []
+    for _ in range(150):
+        s = list(r.choice(base))
+        for k in r.sample(range(50), r.randint(0, 9)):
+            s[k] = r.randrange(1 << 62)
+        sets.append(np.unique(np.array(s, np.uint64)))
+    near = [(a, b) for a in range(150) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+    links = near_copies.similar(sets, 0.8)
+    assert set(map(frozenset, links)) <= set(map(frozenset, near))
+    roots = lambda pairs: simhash.forest(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]), 150).tolist()
+    assert roots(links) == roots(near) and len(set(roots(near))) > 5
 
 
 def test_rows_are_told_by_id_and_text(spark):
