@@ -20,7 +20,7 @@ from .plans import config
 from .plans.redaction import Options, counts_of, redact, redact_names, report_summary, resolve
 from .plans.repair import repair
 from .plans.sessions import map_from_json, map_to_json, merged, parse_token, unmask_sessions
-from .sources import safe
+from .sources import safe, spread
 from .sources.records import redact_log, with_redacted
 
 K = "cast(o_orderkey as string)"
@@ -28,7 +28,7 @@ Steps = list[tuple[str, str]]
 
 
 def made(spark: SparkSession, sf_dir: str, steps: Steps) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    df = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"))
     for name, sql in steps:
         df = df.selectExpr("*", f"{sql} as {name}")
     return df
@@ -199,9 +199,9 @@ CANONICAL_SQL = f"select o_orderkey, number as iban, 'ayşe demir ' || b as name
 def more_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, k, t = made(spark, sf_dir, IBAN), F.col("o_orderkey").cast("string"), F.lit
     return rows.select(
-        "o_orderkey", masks.partial(F.col("number"), t("IBAN")).alias("iban"), masks.partial(F.concat(t("Ayşe Demir"), k), t("KISI")).alias("person"), masks.partial(F.concat(t("34 ABC "), k), t("PLAKA")).alias("plate"),
-        masks.partial(F.concat(t("0123456"), F.col("b")), t("MERSIS")).alias("mersis"), masks.partial(F.concat(t("10.2.3."), (F.col("o_orderkey") % 200).cast("string")), t("IP_ADRESI")).alias("ip"), masks.partial(F.concat(t("Lale Caddesi No "), k), t("ADRES")).alias("address"),
-        masks.partial(F.concat(t("2024/"), k), t("ESAS_NO")).alias("case_number"), masks.partial(k, t("OZEL")).alias("other"),
+        "o_orderkey", masks.partial(F.col("number"), "IBAN").alias("iban"), masks.partial(F.concat(t("Ayşe Demir"), k), "KISI").alias("person"), masks.partial(F.concat(t("34 ABC "), k), "PLAKA").alias("plate"),
+        masks.partial(F.concat(t("0123456"), F.col("b")), "MERSIS").alias("mersis"), masks.partial(F.concat(t("10.2.3."), (F.col("o_orderkey") % 200).cast("string")), "IP_ADRESI").alias("ip"), masks.partial(F.concat(t("Lale Caddesi No "), k), "ADRES").alias("address"),
+        masks.partial(F.concat(t("2024/"), k), "ESAS_NO").alias("case_number"), masks.partial(k, "OZEL").alias("other"),
     )
 
 

@@ -49,8 +49,8 @@ def _plate(x: Column) -> Column:
     return F.when(F.size(parts) >= 2, F.concat(F.element_at(parts, 1), F.lit(" *** "), F.element_at(parts, -1))).otherwise(generic(x))
 
 
-def partial(x: Column, entity_type: Column) -> Column:
-    """A mask that stays readable, by type."""
+def partial(x: Column, entity_type: Column | str) -> Column:
+    """A mask that stays readable, by type; a type known beforehand builds its own mask only."""
     d, flat = digits(x), F.upper(F.regexp_replace(x, r"\s+", ""))
     by = {
         "TCKN": F.when(F.length(d) == 11, _cut(d, 3, "*****", 3)),
@@ -67,6 +67,8 @@ def partial(x: Column, entity_type: Column) -> Column:
     }
     legal = F.regexp_extract(x, r"([0-9]{4})[/-][0-9]+", 1)
     by |= {t: F.when(legal != "", F.concat(legal, F.lit("/****"))) for t in ("ESAS_NO", "KARAR_NO", "DOSYA_NO")}
+    if isinstance(entity_type, str):
+        return F.coalesce(by[entity_type], generic(x)) if entity_type in by else generic(x)
     chain = None
     for t, mask in by.items():
         chain = F.when(entity_type == t, mask) if chain is None else chain.when(entity_type == t, mask)

@@ -27,7 +27,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    return spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"))
 
 
 def _key11() -> Column:
@@ -132,9 +132,9 @@ def luhn_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def partial_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, t = _orders(spark, sf_dir), F.lit
     return o.select(
-        "o_orderkey", masks.partial(_key11(), t("TCKN")).alias("tckn"), masks.partial(F.right(_key11(), F.lit(10)), t("VKN")).alias("vkn"),
-        masks.partial(F.concat(t("+90"), F.right(_key11(), F.lit(10))), t("TELEFON")).alias("phone"), masks.partial(F.concat(t("user"), _key11(), t("@example.com")), t("EPOSTA")).alias("email"),
-        masks.partial(F.concat(t("45320"), _key11()), t("KREDI_KARTI")).alias("card"), masks.asterisk(F.concat(t("a b"), _key11())).alias("stars"),
+        "o_orderkey", masks.partial(_key11(), "TCKN").alias("tckn"), masks.partial(F.right(_key11(), F.lit(10)), "VKN").alias("vkn"),
+        masks.partial(F.concat(t("+90"), F.right(_key11(), F.lit(10))), "TELEFON").alias("phone"), masks.partial(F.concat(t("user"), _key11(), t("@example.com")), "EPOSTA").alias("email"),
+        masks.partial(F.concat(t("45320"), _key11()), "KREDI_KARTI").alias("card"), masks.asterisk(F.concat(t("a b"), _key11())).alias("stars"),
     )
 
 
