@@ -378,6 +378,21 @@ def test_pieces(spark, docs, monkeypatch):
     same([(x["doc_id"], x["text"]) for x in pieces.decode(got).collect()], [(d, t or "") for d, t in table])
 
 
+def test_digests_of_pieces_are_made_where_the_ids_are(spark, tmp_path):
+    """The query's short texts pass through Python once, and its digests are those of the library's ids and of the text."""
+    p = pieces.Pieces(pieces.VOCABULARY)
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.VOCABULARY)
+    texts = [None, "", " ", "\n", "a\0b \0", "▁a ▁ b▁", "  a   b\n \n\nc ", "é日🙂 x", "ab cd\n" * 6000, "the  " * 9000]
+    assert [p.encode(t or "") for t in texts] == [library.encode(t or "") for t in texts]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    hexed = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    got = pieces.op6_piece_scan(spark, str(tmp_path))
+    expected = [(i, len(ids := library.encode(t or "")), hexed(",".join(map(str, ids))), hexed((t or "").replace("▁", " "))) for i, t in enumerate(texts)]
+    same([tuple(r) for r in got.collect()], expected)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan[: plan.index("Union")]
+
+
 def test_paths_of_neighbours_are_the_merges(monkeypatch):
     """The one path of score 0 through a text without borders, however it is cut, is the library's encoding."""
     p = pieces.Pieces(pieces.VOCABULARY)

@@ -20,8 +20,10 @@ empty result. Further columns are carried only if asked for.
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import map_slices, stash, table
+from .common import ddl, map_slices, stash, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -43,7 +45,9 @@ MOST_CHUNKS = 1 << 12
 #: Characters whose words are looked up together, and ids decoded together.
 LEARN_CHARS = 1 << 20
 DECODE_IDS = 1 << 20
-UNIT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
+#: Words remembered, at most; those of LEARN_CHARS may come on top.
+MEMO = 200_000
+UNIT = re.compile("\n| +[^ \n]*|[^ \n]+")
 
 
 def bare_file(path: str) -> bytes:
@@ -93,7 +97,8 @@ class Pieces:
             raise ValueError("a piece crosses a word border")
         self.library = sentencepiece.SentencePieceProcessor(model_proto=bare_file(path))
         self.plain = [bytes([byte_of[i]]) if i in byte_of else b"" if m.is_control(i) else t.replace(MARK, " ").encode() for i, t in enumerate(self.text)]
-        self.memo: dict[str, list[int]] = {}
+        self.commas = [b"%d," % i for i in range(n)]
+        self.memo: dict[str, bytes] = {"": b""}
         self.known: dict[tuple[str, str], bool] = {}
 
     def ids_of(self, token: str) -> list[int]:
@@ -111,26 +116,32 @@ class Pieces:
             self.known[a, b] = found = self.library.encode(a + b) == wanted
         return found
 
-    def learn(self, parts: Iterable[str]) -> dict[str, list[int]]:
-        """A memo that has the ids of all ``parts`` (units: no border inside)."""
-        if len(self.memo) > 100_000:
-            self.memo = {}
-        if new := [u for u in set(parts) if u not in self.memo]:
-            self.memo.update(zip(new, self.library.encode(new, num_threads=1), strict=True))
-        return self.memo
+    def coded(self, parts: list[str]) -> list[bytes]:
+        """Ids (int32) of each of ``parts`` (units: no border inside), from the memo or the library."""
+        if len(self.memo) > MEMO:
+            self.memo = {"": b""}
+        memo = self.memo
+        out = list(map(memo.get, parts))
+        if missing := [i for i, x in enumerate(out) if x is None]:
+            new = list({parts[i] for i in missing})
+            memo.update((u, array("i", ids).tobytes()) for u, ids in zip(new, self.library.encode([u.replace(" ", MARK) for u in new], num_threads=1), strict=True))
+            for i in missing:
+                out[i] = memo[parts[i]]
+        return out
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; the units of about LEARN_CHARS are held at once."""
         out: list[np.ndarray] = []
         at = 0
         while at < len(texts):
-            cut, size = [], 0
+            flat, ends, size = [], [0], 0
             while at < len(texts) and size < LEARN_CHARS:
-                cut.append(units(marked(texts[at])))
+                flat += units(" " + texts[at]) if texts[at] else []
+                ends.append(len(flat))
                 size += len(texts[at])
                 at += 1
-            memo = self.learn(u for c in cut for u in c)
-            out += [np.fromiter(chain.from_iterable(map(memo.__getitem__, c)), np.int32) for c in cut]
+            got = self.coded(flat)
+            out += [np.frombuffer(b"".join(got[a:b]), np.int32) for a, b in zip(ends, ends[1:], strict=False)]
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -211,7 +222,7 @@ class Pieces:
         if first < 0:
             return self.trace(f, self.paths(f, a, b, [entry])[0], entry[1], y)
         out = self.trace(f, self.paths(f, a, first, [entry])[0], entry[1], first)
-        out += list(chain.from_iterable(map(self.learn(inner := units(f[first:last])).__getitem__, inner)))
+        out += np.frombuffer(b"".join(self.coded(units(f[first:last]))), np.int32).tolist()
         return out + self.trace(f, self.paths(f, last, b, [(last, last)])[0], last, y)
 
     def trace(self, f: str, back: list[int], start: int, at: int) -> list[int]:
@@ -227,7 +238,10 @@ def marked(text: str) -> str:
 
 
 def units(s: str) -> list[str]:
-    return UNIT.findall(s)
+    """Line ends, and words with the spaces before them; a space mark counts as a space, and empty units may stand between."""
+    if "  " in s or "\0" in s or MARK in s:
+        return UNIT.findall(s.replace(MARK, " "))
+    return s.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
 
 @functools.cache
@@ -240,8 +254,12 @@ def times(v: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (v[:, None] & m).max(0)
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, carry: tuple[str, ...] = (), giant: int = GIANT_CHARS) -> DataFrame:
-    """doc_id, the carried columns and ids of every row."""
+#: What the tasks that make ids make of them: columns of a list of ids, and their types.
+Finish = tuple[Callable[["Pieces", list[np.ndarray]], dict], str]
+
+
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, carry: tuple[str, ...] = (), giant: int = GIANT_CHARS, finish: Finish | None = None) -> DataFrame:
+    """doc_id, the carried columns and ids of every row; with ``finish`` its columns in place of the ids, which then stay in their task."""
     rows = docs.select("doc_id", *carry, "text")
     fields = [f for f in rows.schema.fields if f.name != "text"]
     names = [f.name for f in fields]
@@ -250,10 +268,46 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, carry: tuple[str, ...]
 
     def short(part: dict) -> dict:
         p = pieces(vocabulary)
-        return {c: part[c] for c in names} | {"ids": p.encode_all([t.decode() for t in part["text"]])}
+        ids = p.encode_all([t.decode() for t in part["text"]])
+        return {c: part[c] for c in names} | (finish[0](p, ids) if finish else {"ids": ids})
+
+    schema = f"{types}, {finish[1] if finish else 'ids array<int>'}"
+    small, large = map_slices(rows.where(~long), short, schema), encode_giant(rows.where(long), vocabulary, names, types)
+    return small.unionByName(finished(large, vocabulary, finish[0], schema) if finish else large)
+
+
+def id_slices(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of a batch with the ids of its column ``at``, about DECODE_IDS each (one row at least)."""
+    column = batch.column(at)
+    ends, values, lo = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False), 0
+    while lo < batch.num_rows:
+        hi = min(batch.num_rows, max(lo + 1, int(np.searchsorted(ends, ends[lo] + DECODE_IDS))))
+        yield batch.slice(lo, hi - lo), [values[a:b] for a, b in zip(ends[lo:hi].tolist(), ends[lo + 1 : hi + 1].tolist(), strict=True)]
+        lo = hi
+
+
+def finished(encoded: DataFrame, vocabulary: str, fn: Callable[[Pieces, list[np.ndarray]], dict], schema: str) -> DataFrame:
+    out, at = to_arrow_schema(ddl(schema)), encoded.columns.index("ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = pieces(vocabulary)
+        for batch in batches:
+            for part, ids in id_slices(batch, at):
+                kept = [c for i, c in enumerate(part.columns) if i != at]
+                made = fn(p, ids)
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(kept, out, strict=False)] + [pa.array(made[f.name], f.type) for f in list(out)[len(kept) :]], schema=out)
+
+    return encoded.mapInArrow(run, schema)
+
 
-    small = map_slices(rows.where(~long), short, f"{types}, ids array<int>")
-    return small.unionByName(encode_giant(rows.where(long), vocabulary, names, types))
+def digests(p: Pieces, ids: list[np.ndarray]) -> dict:
+    """Number of ids, and hex digests of the ids (comma-joined) and of the text decoded from them."""
+    out: dict[str, list] = {"n_tokens": [len(x) for x in ids], "ids_sha256": [], "decoded_sha256": []}
+    for x in ids:
+        own = x.tolist()
+        out["ids_sha256"].append(hashlib.sha256(b"".join(map(p.commas.__getitem__, own))[:-1]).hexdigest())
+        out["decoded_sha256"].append(hashlib.sha256(p.decode(own).encode()).hexdigest())
+    return out
 
 
 def encode_giant(rows: DataFrame, vocabulary: str, names: list[str], types: str) -> DataFrame:
@@ -320,22 +374,13 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(vocabulary)
-        for b in batches:
-            lo = 0
-            while lo < b.num_rows:
-                texts, size, hi = [], 0, lo
-                while hi < b.num_rows and size < DECODE_IDS:
-                    ids = b.column(at)[hi].as_py()
-                    texts.append(None if ids is None else p.decode(ids))
-                    size, hi = size + len(ids or ()), hi + 1
-                part = b.slice(lo, hi - lo)
+        for batch in batches:
+            for part, ids in id_slices(batch, at):
+                texts = [p.decode(x.tolist()) if v else None for x, v in zip(ids, part.column(at).is_valid().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(part.columns, schema, strict=False)] + [pa.array(texts, pa.string())], schema=schema)
-                lo = hi
 
     return encoded.mapInArrow(run, whole)
 
 
 def op6_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode(table(spark, sf_dir, "documents"))
-    ids = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
-    return decode(encoded).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    return encode(table(spark, sf_dir, "documents"), finish=(digests, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
