@@ -274,6 +274,26 @@ def test_decontamination(spark, docs):
     assert got == expected and expected
 
 
+def test_windows_of_all_lengths_are_looked_up_together(monkeypatch):
+    """Items of eighteen lengths in one text: one lookup, and all are found where they stand."""
+    r = Random(8)
+    items = [" ".join(f"w{r.randrange(10**6)}" for _ in range(n)) for n in range(12, 30)]
+    index, known = decontaminate.Index(list(enumerate(items))), decontaminate.WordHashes()
+    asked, close = [], decontaminate.Index.close
+    monkeypatch.setattr(decontaminate.Index, "close", lambda self, *a: asked.append(1) or close(self, *a))
+    words = decontaminate.word_hashes(" so it goes ".join(items), known)
+    starts = [sum(n + 3 for n in range(12, k)) for k in range(12, 30)]
+    assert index.search(len(words), decontaminate.shingles(words), 0.8) == {i: (1.0, s) for i, s in enumerate(starts)}
+    assert len(asked) == 1
+
+
+def test_words_of_decontamination_are_those_of_the_whole_text():
+    known = decontaminate.WordHashes()
+    for text in ("", " \t", "Ab-c_d\x1ce\x85F\u2028g", "ΑΣ ΑΣ. ΣΑΣ'Α", "İstanbul ıI ǅ ßẞ", "a_b " * 3):
+        expected = [xxhash.xxh64_intdigest(w) for w in decontaminate.WORDS.findall(text.lower())]
+        assert decontaminate.word_hashes(text, known).tolist() == expected
+
+
 def test_decontamination_by_blocks_of_items(spark, docs, monkeypatch):
     texts = [t for _, t in rows() if len(words(t)) > 60][:9]
     bench = spark.createDataFrame([*((i, " ".join(words(t)[20:50])) for i, t in enumerate(texts)), (90, None), (91, "One")], "item_id long, text string")

@@ -46,10 +46,10 @@ MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27
 SCHEMA = "doc_id long, item_id long, start_word long, similarity double"
 
 
-class WordHashes(dict):
+class OneWordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str | bytes) -> int:
         from xxhash import xxh64_intdigest
 
         if len(self) > 400_000:
@@ -58,9 +58,20 @@ class WordHashes(dict):
         return value
 
 
+class WordHashes(dict):
+    """64-bit hashes of the words inside a stretch without white space, remembered up to a bound; no word crosses white space."""
+
+    def __missing__(self, stretch: str) -> bytes:
+        from xxhash import xxh64_intdigest
+
+        if len(self) > 400_000:
+            self.clear()
+        self[stretch] = value = b"".join([xxh64_intdigest(w).to_bytes(8, "little") for w in WORDS.findall(stretch.lower())])
+        return value
+
+
 def word_hashes(text: str, known: WordHashes) -> np.ndarray:
-    words = WORDS.findall(text.lower())
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    return np.frombuffer(b"".join(map(known.__getitem__, text.split())), "<u8").astype(np.uint64, copy=False)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -128,8 +139,8 @@ class Index:
             at = at[self.all[near] == h[at]]
         return at
 
-    def close(self, prints: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs of items of ``length`` words within RADIUS."""
+    def close(self, prints: np.ndarray, lengths: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs within RADIUS, each window with items of its number of words in ``lengths`` (one for all, or one each)."""
         windows, items = [], []
         for b, (starts, item) in enumerate(self.tables):
             value = ((prints >> np.uint64(b * BLOCK_BITS)) & np.uint64(0xFFFF)).astype(np.int64)
@@ -139,7 +150,7 @@ class Index:
             windows.append(w)
             items.append(item[at])
         w, i = np.concatenate(windows), np.concatenate(items)
-        keep = (self.lengths[i] == length) & (np.bitwise_count(prints[w] ^ self.prints[i]) <= RADIUS)
+        keep = (self.lengths[i] == np.broadcast_to(lengths, len(prints))[w]) & (np.bitwise_count(prints[w] ^ self.prints[i]) <= RADIUS)
         pairs = np.unique(w[keep] * len(self.ids) + i[keep])
         return pairs // max(1, len(self.ids)), pairs % max(1, len(self.ids))
 
@@ -197,21 +208,34 @@ class Index:
             lo, hi = max(0, int(at[0]) - longest), min(len(part), int(at[-1]) + longest)
             sums = np.zeros((hi - lo + 1, 64), np.int32)
             np.cumsum(bits(np.ascontiguousarray(part[lo:hi])), axis=0, dtype=np.int32, out=sums[1:])
-            for length in np.unique(self.lengths):
-                size = max(1, min(int(length), n_words) - WIDTH + 1)  # shingles of a window
-                last = len(part) - size
-                if last < 0:
+            met = np.zeros(hi - lo + 1, np.int32)
+            met[at - lo + 1] = 1
+            np.cumsum(met, out=met)
+            held: list[tuple[np.ndarray, np.ndarray, int, int]] = []  # fingerprints, starts, length and size of windows
+
+            def look(held=held) -> None:
+                if not held:
+                    return
+                counts = [len(x[0]) for x in held]
+                starts, sizes = np.concatenate([x[1] for x in held]), np.repeat([x[3] for x in held], counts)
+                for w, item in zip(*self.close(np.concatenate([x[0] for x in held]), np.repeat([x[2] for x in held], counts)), strict=True):
+                    verify(int(item), int(starts[w]), int(sizes[w]))
+                held.clear()
+
+            waiting = 0
+            for length in np.unique(self.lengths).tolist():
+                size = max(1, min(length, n_words) - WIDTH + 1)  # shingles of a window
+                if hi - lo < size:
                     continue
-                near = np.zeros(last + 2, np.int32)
-                np.add.at(near, np.clip(at - size + 1, 0, last + 1), 1)
-                np.add.at(near, np.clip(at + 1, 0, last + 1), -1)
-                starts = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-                starts = starts[(starts >= lo) & (starts + size <= hi)]
+                starts = lo + np.flatnonzero(met[size:] > met[:-size])
                 for i in range(0, len(starts), 1 << 14):
                     s = starts[i : i + (1 << 14)]
-                    prints = packed((sums[s + size - lo] - sums[s - lo]) * 2 > size)
-                    for w, item in zip(*self.close(prints, int(length)), strict=True):
-                        verify(int(item), int(s[w]), size)
+                    held.append((packed((sums[s + size - lo] - sums[s - lo]) * 2 > size), s, length, size))
+                    waiting += len(s)
+                    if waiting >= 1 << 14:  # windows of all lengths are looked up together
+                        look()
+                        waiting = 0
+            look()
         return best
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import map_slices, stash, text_hash
 from .components import components
-from .decontaminate import WordHashes, shingles
+from .decontaminate import OneWordHashes, shingles
 
 SIMILARITY = 0.8
 BANDS, ROWS = 30, 6
@@ -32,7 +32,7 @@ TILE_SHINGLES, TILE_SETS = 1 << 20, 1 << 12
 _RANDOM = np.random.default_rng(7)
 TIMES = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SALT = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-_KNOWN = WordHashes()
+_KNOWN = OneWordHashes()
 
 
 def shingle_set(text: bytes) -> np.ndarray:
