@@ -7,6 +7,7 @@ from collections import Counter
 from random import Random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -259,6 +260,48 @@ def test_semi_markov_sums_match_enumeration():
     assert [(x.segments[q][0], x.segments[q][1], k) for q, k in best] == crf.best(x)
 
 
+def test_a_step_of_training_is_small_in_memory_and_exact(monkeypatch):
+    """Most rows met or few: a batch's steps are AdaGrad on sums over the whole batch, whose working memory a bounded part of its tokens sets."""
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    texts = [b" ".join(b"w%d" % i for i in r.zipf(1.3, 500) % 3000) for _ in range(60)]
+    c = Counter(x for t in texts for x in [*t.split(), maxent_lm.END])
+    none = np.zeros(maxent_lm.TAIL, np.int64)
+    v = maxent_lm.Vocabulary(list(c), np.array(list(c.values())), sum(c.values()), len(c), none, none)
+    t = maxent_lm.Tokens(texts, v)
+    assert len(t.leaf) < maxent_lm.BATCH
+    for rows in (1 << 12, 1 << 15, 1 << 19):
+        v.rows = rows
+        m = maxent_lm.Model(v)
+        m.w = r.normal(0, 0.3, m.w.shape).astype(np.float32)
+        token, branch, at, z, total, _ = m.decisions(t, 0, len(t.leaf))
+        g = -z.astype(np.float64) / total[:, None]
+        g[np.arange(len(g)), branch] += 1
+        grad, times = np.zeros(m.w.shape), np.zeros(rows)
+        for k in at.reshape(maxent_lm.FEATURES, -1):
+            np.add.at(grad, k, g)
+            np.add.at(times, k, 1)
+        state, seen, w = np.ones(m.w.shape, np.float32), np.zeros(rows, np.float32), m.w.copy()
+        m.learn(t, state, seen)
+        assert (seen == times).all() and np.allclose(state, 1 + grad**2, rtol=1e-4, atol=1e-5)
+        assert np.allclose(m.w, w + maxent_lm.RATE * grad / np.sqrt(1 + grad**2), atol=1e-5)
+    tracemalloc.start()
+    m.log10(t)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20
+
+
+def test_words_beyond_the_head_are_listed_by_text():
+    none = np.zeros(maxent_lm.TAIL, np.int64)
+    v = maxent_lm.Vocabulary([b"a", maxent_lm.END], np.array([9, 3]), 20, 9, none, none)
+    of = pa.list_(pa.field("element", pa.struct([("word", pa.binary()), ("n", pa.int64())])))
+    texts = [b"", b"a x A X\ty", b"a", b"z " * 5, b""]
+    got = maxent_lm.rare_words(maxent_lm.Tokens(texts, v), of)
+    assert got.type == of and [{p["word"]: p["n"] for p in x} for x in got.to_pylist()] == [{}, {b"x": 2, b"y": 1}, {}, {b"z": 5}, {}]
+
+
 def test_decontamination(spark, docs):
     bench = spark.createDataFrame([(0, " ".join(words(rows()[0][1])[30:60])), (1, "nothing that any of these texts has in it at all"), (2, None), (2, "One"), (3, " ".join(words(rows()[5][1])[10:40]))], "item_id long, text string")
     cut = lambda t: decontaminate.WORDS.findall((t or "").lower())

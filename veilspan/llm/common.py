@@ -53,7 +53,7 @@ def slices(batches: Iterator[pa.RecordBatch], names: list[str], text: str = "tex
 
 
 def record(out: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in schema], schema=schema)
+    return pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) else pa.array(x, type=f.type) for f in schema], schema=schema)
 
 
 def map_slices(df: DataFrame, fn: Callable[[dict], dict | None], schema: str, text: str = "text") -> DataFrame:

@@ -55,6 +55,8 @@ ROUNDS = ((0, 1, 3), (4, 5, 6))  # remainders mod 7 of the documents of a round;
 HELD_OUT = 2
 RATE = 0.15
 BATCH = 1 << 15
+#: Tokens whose decisions are worked out together: few enough to stay in the cache.
+STEP = 1 << 11
 FAN_IN = 16
 
 
@@ -109,6 +111,7 @@ class Vocabulary:
         self.log_counts = np.r_[np.log10(self.counts + 1.0), np.zeros(TAIL)]
         self.tail_total = np.log10(self.tail_tokens + self.tail_words + 1.0)  # inside a class: (c + 1) / total
         self.starts, self.nodes, self.branches, self.priors = tree(np.r_[self.counts, self.tail_tokens + 1.0])
+        self.mixes = (self.nodes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
         wanted = max(1, self.tokens // TOKENS_A_ROW)
         self.rows = min(MOST_ROWS, max(LEAST_ROWS, 1 << (wanted - 1).bit_length()))
 
@@ -142,7 +145,7 @@ class Tokens:
         one[self.starts] = two[self.starts] = 0
         second = self.starts + 1
         two[second[second < len(two)]] = 0
-        self.features = np.stack([hashed([one], 1), hashed([two], 2), hashed([one, two], 3)], 1)
+        self.features = np.stack([hashed([one], 1), hashed([two], 2), hashed([one, two], 3)])
 
 
 class Model:
@@ -152,17 +155,23 @@ class Model:
         self.shift = np.uint64(64 - (v.rows.bit_length() - 1))
 
     def decisions(self, t: Tokens, lo: int, hi: int) -> tuple:
-        """(token, branch, rows of weights, exponentials, their sums, scores) of the decisions of tokens lo to hi."""
+        """(token, branch, rows of weights by feature, exponentials, their sums, scores) of the decisions of tokens lo to hi."""
         v, leaf = self.v, t.leaf[lo:hi]
-        n = v.starts[leaf + 1] - v.starts[leaf]
+        first = v.starts[leaf]
+        n = v.starts[leaf + 1] - first
         token = np.repeat(np.arange(hi - lo), n)
-        at = np.repeat(v.starts[leaf] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(len(token))
-        node, branch = v.nodes[at], v.branches[at]
-        mix = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
-        rows = (((t.features[lo:hi][token] ^ mix[:, None]) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-        z = np.take(v.priors, node, 0)
-        for k in range(FEATURES):
-            z += np.take(self.w, rows[:, k], 0)
+        at = np.repeat(first - (np.cumsum(n) - n), n)
+        at += np.arange(len(token))
+        branch, mix = v.branches[at], v.mixes[at]
+        rows = np.empty((FEATURES, len(token)), np.int64)
+        z = np.take(v.priors, v.nodes[at], 0)
+        for feature, row in zip(t.features, rows, strict=True):
+            h = feature[lo:hi][token]
+            h ^= mix
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h >>= self.shift
+            row[:] = h
+            z += np.take(self.w, row, 0)
         picked = z[np.arange(len(z)), branch]
         np.exp(z, out=z)  # scores stay small: no maximum needs taking off
         return token, branch, rows, z, z @ np.ones(WIDTH, np.float32), picked
@@ -170,37 +179,49 @@ class Model:
     def log10(self, t: Tokens) -> np.ndarray:
         """log10 probability of each token's leaf; what tells the words of a tail class apart is left out."""
         out = np.zeros(len(t.leaf))
-        for lo in range(0, len(out), BATCH):
-            hi = min(len(out), lo + BATCH)
+        for lo in range(0, len(out), STEP):
+            hi = min(len(out), lo + STEP)
             token, _, _, _, total, picked = self.decisions(t, lo, hi)
             out[lo:hi] = np.bincount(token, picked.astype(np.float64) - np.log(total), hi - lo)
         return out / np.log(10)
 
     def learn(self, t: Tokens, state: np.ndarray, seen: np.ndarray) -> None:
+        most = int(np.add.reduceat(np.diff(self.v.starts)[t.leaf], np.arange(0, len(t.leaf), BATCH)).max(initial=0))
+        all_rows, columns = np.empty((FEATURES, most), np.int64), np.empty((WIDTH, most))
         place = np.zeros(self.v.rows, np.int32)
         for lo in range(0, len(t.leaf), BATCH):
-            _, branch, rows, g, total, _ = self.decisions(t, lo, min(len(t.leaf), lo + BATCH))
-            g *= (-1 / total)[:, None]
-            g[np.arange(len(g)), branch] += 1
-            flat = rows.T.ravel()
-            each = np.arange(len(flat), dtype=np.int32)
-            place[flat] = each  # the last place of a row stands for it
-            last = place[flat]
-            own = last == each
-            number = (np.cumsum(own) - 1)[last]
-            row = flat[own]
-            columns = g.T.astype(np.float64, order="C")
-            sums = np.stack([np.bincount(number, np.tile(c, FEATURES), len(row)) for c in columns], 1).astype(np.float32)
-            times = np.bincount(number, minlength=len(row))
+            hi, n = min(len(t.leaf), lo + BATCH), 0
+            for at in range(lo, hi, STEP):  # all from the weights before the batch
+                _, branch, part, g, total, _ = self.decisions(t, at, min(hi, at + STEP))
+                g *= (-1 / total)[:, None]
+                g[np.arange(len(g)), branch] += 1
+                all_rows[:, n : n + len(g)], columns[:, n : n + len(g)] = part, g.T
+                n += len(g)
+            rows = all_rows[:, :n]
+            if self.v.rows <= rows.size:  # most rows are met: each is its own number
+                times, number = sum(np.bincount(x, minlength=self.v.rows) for x in rows), rows
+                row = own = np.flatnonzero(times)
+            else:
+                flat = rows.ravel()
+                each = np.arange(len(flat), dtype=np.int32)
+                place[flat] = each  # the last place of a row stands for it
+                row = flat[place[flat] == each]
+                place[row] = each[: len(row)]
+                number, own = place[rows].astype(np.int64), np.arange(len(row))
+                times = np.bincount(number.ravel(), minlength=len(row))
+            sums = np.empty((WIDTH, len(times)))
+            for total, g in zip(sums, columns[:, :n], strict=True):
+                total[:] = sum(np.bincount(x, g, len(times)) for x in number)
             for i in range(0, len(row), 1 << 12):  # small enough to stay in the cache
-                r, grad = row[i : i + (1 << 12)], sums[i : i + (1 << 12)]
+                r, k = row[i : i + (1 << 12)], own[i : i + (1 << 12)]
+                grad = np.ascontiguousarray(sums[:, k].T, np.float32)
                 square = np.take(state, r, 0)
                 square += grad * grad
                 state[r] = square
                 grad /= np.sqrt(square, out=square)
                 grad *= RATE
                 self.w[r] += grad
-                seen[r] += times[i : i + (1 << 12)]
+                seen[r] += times[k]
 
 
 SUMS = "block int, part int, data binary"
@@ -307,6 +328,19 @@ def trained(docs: DataFrame, held, rounds=ROUNDS) -> bytes:
     return w.tobytes()
 
 
+def rare_words(t: Tokens, of: pa.DataType) -> pa.Array:
+    """By text: its words beyond the head and how often it has each, as lists of pairs of type ``of``."""
+    ends = np.searchsorted(t.beyond, np.r_[t.starts, len(t.leaf)])
+    words, times, offsets = [], [], [0]
+    for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+        c = Counter(t.rare[a:b])
+        words += c
+        times += c.values()
+        offsets.append(len(words))
+    pairs = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], fields=list(of.value_type))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs, type=of)
+
+
 ROWS = "key long, doc_id long, n_tokens long, known long, logs double, model double, rare array<struct<word: binary, n: long>>"
 
 
@@ -328,15 +362,12 @@ def score_documents(docs: DataFrame, name: str = "lm") -> DataFrame:
         per = lambda x: np.add.reduceat(x, t.starts)
         inside = t.leaf < len(v.words)
         own = Model(v, weights.value).log10(t) - np.where(inside, 0, np.r_[np.zeros(len(v.words)), v.tail_total][t.leaf])
-        rare: list[list] = [[] for _ in range(n)]
-        doc = np.searchsorted(t.starts, t.beyond, "right") - 1
-        for (d, w), k in Counter(zip(doc.tolist(), t.rare, strict=True)).items():
-            rare[d].append({"word": w, "n": k})
         first = (TaskContext.get().partitionId() << 36) + numbers.setdefault("next", 0)
         numbers["next"] += n
-        return {"key": np.arange(first, first + n), "doc_id": part["doc_id"], "n_tokens": t.lengths, "known": per(inside.astype(np.int64)), "logs": per(v.log_counts[t.leaf]), "model": per(own), "rare": rare}
+        return {"key": np.arange(first, first + n), "doc_id": part["doc_id"], "n_tokens": t.lengths, "known": per(inside.astype(np.int64)), "logs": per(v.log_counts[t.leaf]), "model": per(own), "rare": rare_words(t, pairs)}
 
     numbers: dict[str, int] = {}
+    pairs = to_arrow_schema(ddl(ROWS)).field("rare").type
     # the keys are made up while reading, so the rows are kept
     rows = stash(map_slices(docs, known_part, ROWS), f"{name}-rows")
     rare = rows.select("key", F.explode("rare").alias("r")).select("key", "r.word", "r.n").join(counts.where(F.col("c") < least), "word")
